@@ -12,9 +12,10 @@ Medians run over values on a grid of `per_unit` steps a unit, so that the state
 grid steps however many rows the group has; it is merged map-side, and a group that holds a third of all rows needs no
 larger task. Two middle values are averaged; a mode's tie goes to the smaller category.
 
-Known rows aren't shuffled for the fill: they are read once for the statistics and pass through. The distinct
-combinations of keys among the rows with gaps are resolved against the statistics of all levels, and the rows with gaps
-are joined with that small result once (AQE splits a hot key there).
+Known rows aren't shuffled for the fill: they are read once for the statistics, which are written to the shared folder
+(one row a group and level), and pass through. The distinct combinations of keys among the rows with gaps are resolved
+against the statistics of all levels, and the rows with gaps are joined with that small result once (AQE splits a hot
+key there).
 
 Defined cases: null in a key column means that the row belongs to no group of the levels with that key (neither gives
 nor takes); an empty table gives an empty table; repeated rows count as often as they occur; extra columns pass
@@ -30,6 +31,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sonolith.session import materialize
+
 
 @dataclass(frozen=True)
 class Level:
@@ -40,17 +43,33 @@ class Level:
     support: int = 1
 
 
-def _statistics(base: DataFrame, level: Level, values: Sequence[str], kind: str) -> DataFrame:
-    keyed = base.where(reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in level.keys], F.lit(True)))
+def _statistics(known: DataFrame, levels: Sequence[Level], keys: Sequence[str], names: Sequence[str], kind: str):
+    """One row a level and group with enough support: the medians or the mode of each component. All levels are counted
+    in one pass: rows become (level, keys, component, value) cells that merge map-side before they move."""
+    cells = []
+    for i, level in enumerate(levels):
+        whole = reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in level.keys], F.lit(True))
+        own = [(F.col(k) if k in level.keys else F.lit(None).cast(known.schema[k].dataType)).alias(k) for k in keys]
+        for j, n in enumerate(names):
+            cell = F.struct(F.lit(i).alias("__level"), *own, F.lit(j).alias("__part"), F.col(f"__v_{n}").alias("__v"))
+            cells.append(F.when(whole, cell))
+    counts = (
+        known.select(F.explode(F.array(*cells)).alias("c"))
+        .where(F.col("c").isNotNull())
+        .groupBy(*[F.col(f"c.{c}").alias(c) for c in ("__level", *keys, "__part", "__v")])
+        .agg(F.count(F.lit(1)).alias("__n"))
+    )
+    mine = [F.col("__part") == j for j in range(len(names))]
     if kind == "median":
-        stats = [F.percentile(F.col(v), F.lit(0.5), F.col("__n")).alias(f"__s_{v}") for v in values]
-        out = keyed.groupBy(*level.keys).agg(F.sum("__n").alias("__support"), *stats)
+        best = [F.percentile(F.when(m, F.col("__v")), F.lit(0.5), F.col("__n")) for m in mine]
     else:
-        (v,) = values
-        counts = keyed.groupBy(*level.keys, v).agg(F.sum("__n").alias("__c"))
-        best = F.min_by(v, F.struct(-F.col("__c"), F.col(v)))
-        out = counts.groupBy(*level.keys).agg(F.sum("__c").alias("__support"), best.alias(f"__s_{v}"))
-    return out.where(F.col("__support") >= level.support)
+        best = [F.min_by("__v", F.when(m, F.struct(-F.col("__n"), F.col("__v")))) for m in mine]
+    enough = reduce(lambda a, b: a.when(F.col("__level") == b[0], b[1].support), enumerate(levels), F)
+    return (
+        counts.groupBy("__level", *keys)
+        .agg(F.sum(F.when(mine[0], F.col("__n"))).alias("__support"), *[b.alias(n) for b, n in zip(best, names)])
+        .where(F.col("__support") >= enough)
+    )
 
 
 def fill_from_groups(
@@ -74,24 +93,16 @@ def fill_from_groups(
     is_known = F.coalesce(known, F.lit(False))
     keys = list(dict.fromkeys(k for level in levels for k in level.keys))
     grid = {n: F.floor(c * F.lit(float(per_unit)) + F.lit(0.5)).cast("int") if numeric else c for n, c in parts.items()}
-    base = (
-        df.where(is_known)
-        .select(*keys, *[grid[n].alias(f"__v_{n}") for n in names])
-        .groupBy(*keys, *[f"__v_{n}" for n in names])
-        .agg(F.count(F.lit(1)).alias("__n"))
-    )
-    columns = [f"__v_{n}" for n in names]
+    known_rows = df.where(is_known).select(*keys, *[grid[n].alias(f"__v_{n}") for n in names])
+    statistics = materialize(_statistics(known_rows, levels, keys, names, kind), "fill")
     gaps = df.where(~is_known)
-    resolved = gaps.select(*keys).distinct() if keys else None
+    resolved = gaps.select(*keys).distinct()
     found = []
     for i, level in enumerate(levels):
-        s = _statistics(base, level, columns, kind)
-        packed = F.struct(
-            F.lit(level.name).alias("level"),
-            F.col("__support").alias("support"),
-            *[F.col(f"__s___v_{n}").alias(n) for n in names],
+        packed = F.struct(F.lit(level.name).alias("level"), F.col("__support").alias("support"), *names)
+        s = statistics.where(F.col("__level") == i).select(
+            *[F.col(k).alias(f"__k{i}_{k}") for k in level.keys], packed.alias(f"__l{i}")
         )
-        s = s.select(*[F.col(k).alias(f"__k{i}_{k}") for k in level.keys], packed.alias(f"__l{i}"))
         found.append(f"__l{i}")
         if level.keys:
             on = reduce(lambda a, b: a & b, [F.col(k) == F.col(f"__k{i}_{k}") for k in level.keys])
