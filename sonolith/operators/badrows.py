@@ -2,9 +2,10 @@
 
 `parse_records` takes raw delimited records in a column and gives every one of them back, either with typed fields or
 with the reason why it doesn't load. A block of records goes through the bulk path at once: the C parser splits it in
-strict mode, the columns are transposed and the checked columns are matched and converted as Arrow arrays. A block that
-fails anywhere is cut in two and tried again, so that good records still load in bulk and single bad ones are left;
-these are diagnosed by a strict parser of the record alone. The bulk path accepts only what the strict one accepts.
+strict mode. A block that fails is cut in two and tried again, so that good records still load in bulk and single bad
+ones are left; these are diagnosed by a strict parser of the record alone. What was split is then transposed, and the
+checked columns are matched and converted as Arrow arrays; records in doubt there go to the strict parser too. The bulk
+path accepts only what the strict one accepts.
 
 The first reason that holds is given: ``quoting`` (a field is neither quoted as a whole, with doubled quotes within,
 nor free of quotes), ``column_count``, ``bad_value``.
@@ -18,16 +19,19 @@ parsed where they lie: no shuffle, and no state beyond a block.
 from __future__ import annotations
 
 import csv
+import re
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 BLOCK = 64
-NUMBER = r"^ *[+-]?[0-9]+([.,][0-9]+)? *$"
+NUMBER = r" *[+-]?[0-9]+([.,][0-9]+)? *"
+_NUMBER = re.compile(NUMBER)
 
 
 @dataclass(frozen=True)
@@ -47,7 +51,7 @@ class Field:
 
 def _numbers(texts: pa.Array, field: Field) -> tuple[pa.Array, pa.Array]:
     """The values of a column of texts and whether each is valid."""
-    form = pc.match_substring_regex(texts, NUMBER)
+    form = pc.match_substring_regex(texts, rf"\A{NUMBER}\z")
     plain = pc.replace_substring(pc.if_else(form, pc.utf8_trim(texts, " "), "nan"), ",", ".")
     plain = pc.if_else(pc.starts_with(plain, "+"), pc.utf8_slice_codeunits(plain, 1, 1 << 30), plain)
     value = pc.cast(plain, pa.float64())
@@ -95,67 +99,72 @@ class _Loader:
     def __init__(self, fields: Sequence[Field], delimiter: str):
         self.fields, self.delimiter = fields, delimiter
 
-    def bulk(self, block: list[str]) -> list[pa.Array] | None:
-        """The block's columns, or None where any of its records isn't plainly valid."""
+    def bulk(self, block: list[str]) -> list[list[str]] | None:
+        """The block's records split into fields, or None where any of them doesn't split plainly."""
         try:
             rows = list(csv.reader(block, delimiter=self.delimiter, strict=True))
         except csv.Error:
             return None
-        if len(rows) != len(block) or any(len(row) != len(self.fields) for row in rows):
-            return None
-        out = []
-        for field, column in zip(self.fields, zip(*rows, strict=True), strict=True):
-            texts = pa.array(column, pa.string())
-            # A quote in a parsed field is either doubled or a fault; the strict parser tells.
-            if pc.any(pc.match_substring(texts, '"')).as_py():
-                return None
-            if field.checked:
-                texts, good = _numbers(texts, field)
-                if not pc.all(good).as_py():
-                    return None
-            out.append(texts)
-        return out
+        width = len(self.fields)
+        # A record that ends within quotes takes the next one in, so that the counts differ.
+        return rows if len(rows) == len(block) and all(len(row) == width for row in rows) else None
 
-    def strict(self, record: str) -> tuple[list | None, str | None]:
-        """The typed fields of one record, or the reason."""
+    def strict(self, record: str) -> tuple[list[str] | None, str | None]:
+        """The fields of one record as texts, or the reason why it doesn't load."""
         fields = split_strict(record, self.delimiter)
         if fields is None:
             return None, "quoting"
         if len(fields) != len(self.fields):
             return None, "column_count"
-        out = []
         for field, text in zip(self.fields, fields, strict=True):
-            if field.checked:
-                value, good = _numbers(pa.array([text], pa.string()), field)
-                if not good[0].as_py():
-                    return None, "bad_value"
-                out.append(value[0].as_py())
-            else:
-                out.append(text)
-        return out, None
+            if field.checked and not self.valid(field, text):
+                return None, "bad_value"
+        return fields, None
+
+    @staticmethod
+    def valid(field: Field, text: str) -> bool:
+        if field.unknown and not text.strip():
+            return True
+        if not _NUMBER.fullmatch(text):
+            return False
+        value = float(text.strip(" ").replace(",", "."))
+        return field.low <= value <= field.high or (field.unknown and value == 0)
 
     def load(self, records: list[str | None]) -> tuple[list[pa.Array], pa.Array]:
         """Columns in the order of the records, and the reasons."""
         texts = [r[:-1] if r is not None and r.endswith("\r") else r or "" for r in records]
-        pieces: list[tuple[int, list[pa.Array]]] = []
+        blank = [None] * len(self.fields)
+        rows: list[list] = [blank] * len(texts)
         reasons: list[str | None] = [None] * len(texts)
-        stack = [(i, min(i + BLOCK, len(texts))) for i in range(0, len(texts), BLOCK)][::-1]
+        stack = [(i, min(i + BLOCK, len(texts))) for i in range(0, len(texts), BLOCK)]
         while stack:
             a, b = stack.pop()
-            if (columns := self.bulk(texts[a:b])) is not None:
-                pieces.append((a, columns))
+            if (block := self.bulk(texts[a:b])) is not None:
+                rows[a:b] = block
             elif b - a > 1:
                 middle = (a + b) // 2
-                stack += [(middle, b), (a, middle)]
+                stack += [(a, middle), (middle, b)]
             else:
-                values, reasons[a] = self.strict(texts[a])
-                values = values or [None] * len(self.fields)
-                pieces.append((a, [pa.array([v], self.kind(f)) for f, v in zip(self.fields, values, strict=True)]))
-        columns = [
-            pa.concat_arrays([p[1][k] for p in pieces]) if pieces else pa.array([], self.kind(f))
-            for k, f in enumerate(self.fields)
-        ]
-        return columns, pa.array(reasons, pa.string())
+                fields, reasons[a] = self.strict(texts[a])
+                rows[a] = fields or blank
+        columns = [pa.array(c, pa.string()) for c in zip(*rows, strict=True)] if rows else []
+        columns = columns or [pa.array([], pa.string()) for _ in self.fields]
+        # The split columns are checked as a whole. A quote left in a field is either doubled or a fault, and an
+        # invalid value is one: the strict parser decides on these records.
+        doubt = pa.array([False] * len(texts), pa.bool_())
+        out = []
+        for field, column in zip(self.fields, columns, strict=True):
+            doubt = pc.or_(doubt, pc.fill_null(pc.match_substring(column, '"'), False))
+            if field.checked:
+                column, good = _numbers(column, field)
+                doubt = pc.or_(doubt, pc.fill_null(pc.invert(good), False))
+            out.append(column)
+        for i in np.flatnonzero(doubt.to_numpy(zero_copy_only=False)).tolist():
+            if reasons[i] is None:
+                _, reasons[i] = self.strict(texts[i])
+        reason = pa.array(reasons, pa.string())
+        loads = pc.is_null(reason)
+        return [pc.if_else(loads, c, pa.scalar(None, c.type)) for c in out], reason
 
     @staticmethod
     def kind(field: Field) -> pa.DataType:
