@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sonolith.functions.text import reference_key
+from sonolith.llm.fusion import FusedField, fuse
 from sonolith.llm.packing import pack
 from sonolith.llm.tokens import count_tokens, encode_texts
 from sonolith.sources import table
@@ -12,6 +14,35 @@ from sonolith.sources import table
 CONTAINER = 2048
 
 
+def fuse_turbines(spark: SparkSession, folder: str, authority: str = "trust") -> DataFrame:
+    """One row for each group of turbine records that share a mast_ref."""
+    hub, power = F.col("hub_m"), F.col("power_kw")
+    fields = [
+        FusedField("hub_m", hub.between(10, 250) & ~F.isnan(hub), 10),
+        FusedField("power_kw", power.between(1, 20000) & ~F.isnan(power), 10),
+    ]
+    records = table(spark, folder, "turbines").select(
+        "record_id", "mast_ref", "source", "updated_at", "hub_m", "power_kw"
+    )
+    key, source = reference_key(F.col("mast_ref")), F.lower(F.trim("source"))
+    trust = table(spark, folder, "source_trust")
+    return fuse(records, key, "record_id", source, "updated_at", trust, fields, authority)
+
+
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    return fuse_turbines(spark, folder).select(
+        "group_id",
+        F.col("hub_m_record").alias("hub_record"),
+        F.col("power_kw_record").alias("power_record"),
+        "source_record",
+    )
+
+
+def p2_fused(spark: SparkSession, folder: str) -> DataFrame:
+    """The values of largest posterior, and the most trusted records that hold them."""
+    return fuse_turbines(spark, folder, "evidence")
+
+
 def p6_ids(spark: SparkSession, folder: str) -> DataFrame:
     return encode_texts(table(spark, folder, "documents").select("doc_id", "text"))
 
@@ -22,5 +53,14 @@ def p7_containers(spark: SparkSession, folder: str) -> DataFrame:
     return pack(sizes, "doc_id", "tokens", CONTAINER)
 
 
-QUERIES = {"p6_ids": p6_ids, "p7_containers": p7_containers}
-SQL = {}
+QUERIES = {"p2_found": p2_found, "p2_fused": p2_fused, "p6_ids": p6_ids, "p7_containers": p7_containers}
+_KEY = """nullif(regexp_replace(regexp_replace(upper(mast_ref), '(^|[^0-9])0+([0-9])', '\\1\\2', 'g'), '[\\s\\-_/.]+', '', 'g'), '')"""
+_ORDER = "{'a': coalesce(trust, 2147483647), 'b': coalesce(-epoch_us(updated_at), 9000000000000000000), 'c': record_id}"
+SQL = {
+    "p2_found": f"""with r as (select t.*, s.trust, {_KEY} as k from turbines t left join source_trust s on lower(trim(t.source)) = s.source)
+        select min(record_id) as group_id,
+        coalesce(arg_min(record_id, {_ORDER}) filter (where hub_m between 10 and 250 and not isnan(hub_m)), 0) as hub_record,
+        coalesce(arg_min(record_id, {_ORDER}) filter (where power_kw between 1 and 20000 and not isnan(power_kw)), 0) as power_record,
+        coalesce(arg_min(record_id, {_ORDER}) filter (where trust is not null), 0) as source_record
+        from r where k is not null group by k having count(*) >= 2""",
+}
