@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from sonolith.functions.text import reference_key
 from sonolith.llm.fusion import FusedField, fuse
+from sonolith.llm.matching import match
 from sonolith.llm.packing import pack
 from sonolith.llm.tokens import count_tokens, encode_texts
 from sonolith.sources import table
@@ -43,6 +44,29 @@ def p2_fused(spark: SparkSession, folder: str) -> DataFrame:
     return fuse_turbines(spark, folder, "evidence")
 
 
+def match_turbines(spark: SparkSession, folder: str) -> DataFrame:
+    """Pairs of a turbine record and a register unit that describe one turbine, with rule and confidence."""
+    records = table(spark, folder, "turbines").select(
+        "record_id", reference_key(F.col("mast_ref")).alias("key"), "lat", "lon", F.col("hub_m").alias("hub"),
+        F.col("power_kw").alias("power"), "farm", F.col("turbine_model").alias("maker"),
+    )
+    units = table(spark, folder, "register_units").select(
+        "unit_id", F.col("latitude").alias("lat"), F.col("longitude").alias("lon"), F.col("hub_height_m").alias("hub"),
+        F.col("capacity_mw").alias("power"), F.col("farm_label").alias("farm"), F.col("unit_model").alias("maker"),
+        (F.lower(F.trim("unit_status")) == "dismantled").alias("gone"),
+    )
+    return match(records, units)
+
+
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    return match_turbines(spark, folder).select("record_id", "unit_id")
+
+
+def p5_matches(spark: SparkSession, folder: str) -> DataFrame:
+    """The pairs with the rule that found each and its confidence."""
+    return match_turbines(spark, folder).withColumn("confidence", F.floor(F.col("confidence") * 10000 + 0.5) / 10000)
+
+
 def p6_ids(spark: SparkSession, folder: str) -> DataFrame:
     return encode_texts(table(spark, folder, "documents").select("doc_id", "text"))
 
@@ -53,7 +77,7 @@ def p7_containers(spark: SparkSession, folder: str) -> DataFrame:
     return pack(sizes, "doc_id", "tokens", CONTAINER)
 
 
-QUERIES = {"p2_found": p2_found, "p2_fused": p2_fused, "p6_ids": p6_ids, "p7_containers": p7_containers}
+QUERIES = {"p2_found": p2_found, "p2_fused": p2_fused, "p5_found": p5_found, "p5_matches": p5_matches, "p6_ids": p6_ids, "p7_containers": p7_containers}
 _KEY = """nullif(regexp_replace(regexp_replace(upper(mast_ref), '(^|[^0-9])0+([0-9])', '\\1\\2', 'g'), '[\\s\\-_/.]+', '', 'g'), '')"""
 _ORDER = "{'a': coalesce(trust, 2147483647), 'b': coalesce(-epoch_us(updated_at), 9000000000000000000), 'c': record_id}"
 SQL = {
