@@ -9,6 +9,7 @@ from sonolith.functions.text import reference_key
 from sonolith.llm.fusion import FusedField, fuse
 from sonolith.llm.matching import match
 from sonolith.llm.packing import pack
+from sonolith.llm.residue import find_residue
 from sonolith.llm.tokens import count_tokens, encode_texts
 from sonolith.sources import table
 
@@ -77,7 +78,19 @@ def p7_containers(spark: SparkSession, folder: str) -> DataFrame:
     return pack(sizes, "doc_id", "tokens", CONTAINER)
 
 
-QUERIES = {"p2_found": p2_found, "p2_fused": p2_fused, "p5_found": p5_found, "p5_matches": p5_matches, "p6_ids": p6_ids, "p7_containers": p7_containers}
+def p8_found(spark: SparkSession, folder: str) -> DataFrame:
+    return find_residue(table(spark, folder, "documents")).where("residue").select("doc_id")
+
+
+def p8_kept(spark: SparkSession, folder: str) -> DataFrame:
+    """The texts that stay: those without residue."""
+    documents = table(spark, folder, "documents")
+    return documents.join(p8_found(spark, folder), "doc_id", "left_anti").select("doc_id", "lang", "n_chars")
+
+
+QUERIES = {"p2_found": p2_found, "p2_fused": p2_fused, "p5_found": p5_found, "p5_matches": p5_matches, "p6_ids": p6_ids, "p7_containers": p7_containers,
+    "p8_found": p8_found, "p8_kept": p8_kept,
+}
 _KEY = """nullif(regexp_replace(regexp_replace(upper(mast_ref), '(^|[^0-9])0+([0-9])', '\\1\\2', 'g'), '[\\s\\-_/.]+', '', 'g'), '')"""
 _ORDER = "{'a': coalesce(trust, 2147483647), 'b': coalesce(-epoch_us(updated_at), 9000000000000000000), 'c': record_id}"
 SQL = {
