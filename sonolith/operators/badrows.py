@@ -12,7 +12,8 @@ nor free of quotes), ``column_count``, ``bad_value``.
 
 Defined cases: a trailing carriage return isn't part of a record; a null or empty record has one field; a quoted field
 may hold delimiters, quotes and line breaks; records of any length work (the bulk parser's limit on a field sends longer
-ones to the strict parser). Other columns pass through; a column named like a field or `reason` is an error. Rows are
+ones to the strict parser). Other columns pass through; one named like a field or
+`reason` is replaced by it. Rows are
 parsed where they lie: no shuffle, and no state beyond a block.
 """
 
@@ -174,8 +175,7 @@ class _Loader:
 def parse_records(df: DataFrame, raw: str, fields: Sequence[Field], delimiter: str = ",") -> DataFrame:
     """All rows of df with the fields of the record in column `raw` and `reason` (null where it loads)."""
     names = [f.name for f in fields]
-    if clash := {*names, "reason"} & set(df.columns):
-        raise ValueError(f"columns already there: {sorted(clash)}")
+    df = df.select(*[c for c in df.columns if c == raw or c not in {*names, "reason"}])
     added = [T.StructField(f.name, T.DoubleType() if f.checked else T.StringType()) for f in fields]
     schema = T.StructType([*df.schema.fields, *added, T.StructField("reason", T.StringType())])
     fields = tuple(fields)

@@ -19,7 +19,7 @@ key there).
 
 Defined cases: null in a key column means that the row belongs to no group of the levels with that key (neither gives
 nor takes); an empty table gives an empty table; repeated rows count as often as they occur; extra columns pass
-through, and a column named like an output is an error rather than overwritten.
+through, and one named like an output is replaced by it.
 """
 
 from __future__ import annotations
@@ -85,8 +85,7 @@ def fill_from_groups(
     """parts: the value's components by name, as columns that hold good where `known` is true (one for a plain number
     or a category). finish: builds the result column from the columns of the components, as given."""
     added = [out, f"{out}_filled", f"{out}_level", f"{out}_support"]
-    if clash := set(added) & set(df.columns):
-        raise ValueError(f"columns already there: {sorted(clash)}")
+    df = df.drop(*added)
     names = list(parts)
     finish = finish or (lambda c: c[names[0]])
     numeric = kind == "median"
