@@ -34,6 +34,7 @@ from sonolith.session import materialize
 
 CELL = 0.00225
 SAME_SPOT_M = 100.0
+LONE_M = 60.0
 NEAR_M, FAR_M = 150.0, 255.0
 POWER_CLASS, HUB_CLASS = 1.2, 6.0
 
@@ -103,6 +104,23 @@ def _entities(records: DataFrame) -> DataFrame:
     )
 
 
+def _informed(entities: DataFrame) -> DataFrame:
+    """Unkeyed entities take what they don't know from the nearest keyed one at the same spot."""
+    lone = F.col("e_key").startswith("#")
+    spot = F.explode(cells_within(F.col("e_lat"), F.col("e_lon"), CELL, LONE_M))
+    named = entities.where(~lone).select(
+        cell_of(F.col("e_lat"), F.col("e_lon"), CELL).alias("cell"), *[F.col(f"e_{c}").alias(f"n_{c}") for c in ("key", "lat", "lon", "hub", "power")]
+    )
+    away = distance_m(F.col("e_lat"), F.col("e_lon"), F.col("n_lat"), F.col("n_lon"))
+    near = entities.where(lone).withColumn("cell", spot).join(named, "cell").withColumn("m", away).where(F.col("m") <= LONE_M)
+    best = near.groupBy("e_key").agg(F.min(F.struct("m", "n_key", "n_hub", "n_power")).alias("n"))
+    known = [F.coalesce(f"e_{c}", F.col(f"n.n_{c}")).alias(f"e_{c}") for c in ("hub", "power")]
+    kept = [c for c in entities.columns if c not in ("e_hub", "e_power")]
+    return entities.where(~lone).select(*kept, "e_hub", "e_power").unionByName(
+        entities.where(lone).join(best, "e_key", "left").select(*kept, *known)
+    )
+
+
 def _power_class(power: Column) -> Column:
     return F.floor(F.log(power) / F.log(F.lit(POWER_CLASS))).cast("int")
 
@@ -129,6 +147,9 @@ def _contradicts() -> Column:
     return power_off | (hub_off & ~exact & ~maker) | F.col("u_gone")
 
 
+_MATCHED = ("e_key", "e_lat", "e_lon", "e_maker", "u_maker", "u_hub", "u_power", "u_gone")
+
+
 def _around(key: Column) -> Column:
     return F.array(key - 1, key, key + 1)
 
@@ -152,12 +173,12 @@ def _pass(units: DataFrame, entities: DataFrame, rule: Rule) -> DataFrame:
     away = distance_m(F.col("u_lat"), F.col("u_lon"), F.col("e_lat"), F.col("e_lon"))
     pairs = left.join(right, on).withColumn("m", away)
     good = reduce(lambda a, b: a & b, tests, (F.col("m") <= radius) & ~_contradicts())
-    best = F.min(F.struct("m", "e_key", "e_lat", "e_lon", "e_maker", "u_maker")).alias("b")
+    best = F.min(F.struct("m", "e_key", "e_lat", "e_lon", "e_maker", "u_maker", "u_hub", "u_power", "u_gone")).alias("b")
     return (
         pairs.where(good)
         .groupBy("unit_id")
         .agg(best)
-        .select("unit_id", F.lit(rule.name).alias("rule"), "b.e_key", "b.e_lat", "b.e_lon", "b.e_maker", "b.u_maker")
+        .select("unit_id", F.lit(rule.name).alias("rule"), *[f"b.{c}" for c in _MATCHED])
     )
 
 
@@ -191,7 +212,7 @@ def match(
         maker_key(F.col("maker")).alias("u_maker"),
         F.coalesce("gone", F.lit(False)).alias("u_gone"),
     )
-    entities = materialize(_entities(own), "entities")
+    entities = materialize(_informed(materialize(_entities(own), "entities")), "entities")
     left, resolved = materialize(other, "units"), None
     for rule in rules:
         now = materialize(_pass(left, entities, rule), "matches")
@@ -199,11 +220,13 @@ def match(
         resolved = now if resolved is None else resolved.unionByName(now)
     precision = _precision(resolved, own, labelled, rules)
     near = F.explode(cells_within(F.col("e_lat"), F.col("e_lon"), CELL, SAME_SPOT_M))
-    at = resolved.select("unit_id", "rule", "e_key", F.col("e_lat").alias("b_lat"), F.col("e_lon").alias("b_lon"), near.alias("cell"))
-    spots = entities.select(F.col("e_key").alias("s_key"), "e_lat", "e_lon", cell_of(F.col("e_lat"), F.col("e_lon"), CELL).alias("cell"))
+    own_columns = ["unit_id", "rule", "u_maker", "u_hub", "u_power", "u_gone"]
+    at = resolved.select(*own_columns, F.col("e_lat").alias("b_lat"), F.col("e_lon").alias("b_lon"), near.alias("cell"))
+    spots = entities.withColumn("cell", cell_of(F.col("e_lat"), F.col("e_lon"), CELL))
     away = distance_m(F.col("b_lat"), F.col("b_lon"), F.col("e_lat"), F.col("e_lon"))
     # Each unit with the entity it found and the unkeyed (or differently keyed) ones at the same spot.
-    same = at.join(spots, "cell").where(away <= SAME_SPOT_M).select("unit_id", "rule", F.col("s_key").alias("key")).distinct()
+    beside = at.join(spots, "cell").where((away <= SAME_SPOT_M) & ~_contradicts())
+    same = beside.select("unit_id", "rule", F.col("e_key").alias("key")).distinct()
     pairs = own.select("record_id", "key").join(same, "key")
     return pairs.join(F.broadcast(precision), "rule", "left").select("record_id", "unit_id", "rule", "confidence")
 

@@ -18,7 +18,7 @@ scoring is one pass where the texts lie, without a shuffle; the model is one arr
 
 Defined cases: null, empty and blank texts have no passage and are none; texts of any length are read whole; repeated
 texts get the same answer; without a trusted passage in the sample there is no model and nothing is found; an empty
-table gives no rows; a clashing output column is an error.
+table gives no rows; extra columns of any name don't come out.
 """
 
 from __future__ import annotations

@@ -5,7 +5,8 @@ batch by batch, without a shuffle; pre-tokens that were seen before come from a
 vocabulary (under 1 MB, whatever the corpus) is read on the driver and broadcast.
 
 Defined cases: a null or empty text gives an empty list; a blank text gives the ids of its white space; texts of any
-length are encoded whole; repeated rows come out as often as they came in; a clashing output column is an error.
+length are encoded whole; repeated rows come out as often as they came in; an input column named like the output is
+replaced by it.
 """
 
 from __future__ import annotations
@@ -33,10 +34,8 @@ def _vocabulary(df: DataFrame, path: str):
 
 def encode_texts(df: DataFrame, text: str = "text", out: str = "ids", vocabulary: str = VOCABULARY) -> DataFrame:
     """df with the ids (array<int>) of the texts; the text itself stays only if it is selected again before."""
-    if out in df.columns:
-        raise ValueError(f"column already there: {out}")
     shared = _vocabulary(df, vocabulary)
-    kept = [f for f in df.schema.fields if f.name != text]
+    kept = [f for f in df.schema.fields if f.name not in (text, out)]
     schema = T.StructType([*kept, T.StructField(out, T.ArrayType(T.IntegerType(), False))])
     names = [f.name for f in kept]
 
@@ -56,10 +55,8 @@ def encode_texts(df: DataFrame, text: str = "text", out: str = "ids", vocabulary
 
 def count_tokens(df: DataFrame, text: str = "text", out: str = "tokens", vocabulary: str = VOCABULARY) -> DataFrame:
     """df, without the text, with the number of its tokens."""
-    if out in df.columns:
-        raise ValueError(f"column already there: {out}")
     shared = _vocabulary(df, vocabulary)
-    kept = [f for f in df.schema.fields if f.name != text]
+    kept = [f for f in df.schema.fields if f.name not in (text, out)]
     schema = T.StructType([*kept, T.StructField(out, T.LongType())])
     names = [f.name for f in kept]
 
