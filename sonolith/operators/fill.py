@@ -5,7 +5,7 @@
 * ``<out>``          the known value, or the filled one (null only where no row of the table knows the field),
 * ``<out>_filled``   true where the value was missing,
 * ``<out>_level``    for a missing value the name of the level that gave it, or ``none``; null for known values,
-* ``<out>_support``  the number of known rows behind a filled value.
+* ``<out>_support``  the number of known rows behind a filled value, else 0.
 
 Numeric fields (a double, or several that are filled together) are filled by the median, categories by the mode.
 Medians run over values on a grid of `per_unit` steps a unit, so that the state of a group is bounded by the number of
@@ -116,14 +116,14 @@ def fill_from_groups(
         F.when(F.col("__fill").isNotNull(), finish(back)).alias(out),
         F.lit(True).alias(f"{out}_filled"),
         F.coalesce(F.col("__fill.level"), F.lit("none")).alias(f"{out}_level"),
-        F.col("__fill.support").alias(f"{out}_support"),
+        F.coalesce(F.col("__fill.support"), F.lit(0)).alias(f"{out}_support"),
     )
     kept = df.where(is_known).select(
         *df.columns,
         finish(dict(parts)).alias(out),
         F.lit(False).alias(f"{out}_filled"),
         F.lit(None).cast("string").alias(f"{out}_level"),
-        F.lit(None).cast("long").alias(f"{out}_support"),
+        F.lit(0).cast("long").alias(f"{out}_support"),
     )
     return kept.unionByName(filled)
 

@@ -230,7 +230,7 @@ SQL = {
         [("mast", "mast", 1), ("farm_model", "farm model", 2), ("farm", "farm", 3), ("model", "model", 3), ("country", "country_iso", 3), ("all", "", 1)],
         "select {keys}count(*) as support, quantile_cont(v, 0.5) as v from known where {valid}{group}",
         "record_id",
-        "case when ok then hub_m else f.v / 10.0 end as hub, not ok as hub_filled, case when not ok then coalesce(f.level, 'none') end as hub_level, f.support as hub_support",
+        "case when ok then hub_m else f.v / 10.0 end as hub, not ok as hub_filled, case when not ok then coalesce(f.level, 'none') end as hub_level, coalesce(f.support, 0) as hub_support",
     ),
     "p1_class_filled": _cascade(
         f"""select piece_id, coalesce({_CLASS} in ({_CLASSES}), false) as ok, {_CLASS} as v, osm_id, country_iso, road_ref, road_name,
@@ -239,7 +239,7 @@ SQL = {
         [("way", "osm_id", 1), ("name", "country_iso road_ref road_name", 2), ("traffic_speed", "country_iso load speed", 3), ("traffic", "load", 3), ("country", "country_iso", 1), ("all", "", 1)],
         "select {keys}sum(c)::bigint as support, arg_min(v, {{'a': -c, 'b': v}}) as v from (select {keys}v, count(*) as c from known where {valid} group by {keys}v){group}",
         "piece_id",
-        "case when ok then v else f.v end as class, not ok as class_filled, case when not ok then coalesce(f.level, 'none') end as class_level, f.support as class_support",
+        "case when ok then v else f.v end as class, not ok as class_filled, case when not ok then coalesce(f.level, 'none') end as class_level, coalesce(f.support, 0) as class_support",
     ),
     "p1_shares_filled": _cascade(
         f"""select count_id, {_SHARES} as ok, station_id, osm_id, country_iso, road_group, heavy,
@@ -255,6 +255,6 @@ SQL = {
         """floor(case when ok then a / (a + b + c) else f.day / (f.day + f.evening + f.night) end * 10000 + 0.5) / 10000 as day,
         floor(case when ok then b / (a + b + c) else f.evening / (f.day + f.evening + f.night) end * 10000 + 0.5) / 10000 as evening,
         floor(case when ok then c / (a + b + c) else f.night / (f.day + f.evening + f.night) end * 10000 + 0.5) / 10000 as night,
-        not ok as shares_filled, case when not ok then coalesce(f.level, 'none') end as shares_level, f.support as shares_support""",
+        not ok as shares_filled, case when not ok then coalesce(f.level, 'none') end as shares_level, coalesce(f.support, 0) as shares_support""",
     ),
 }

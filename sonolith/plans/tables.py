@@ -272,7 +272,7 @@ def J37_fallbacks(spark: SparkSession, folder: str) -> DataFrame:
     sup = l.where("m = 12").groupBy("l_suppkey").agg(F.min("l_extendedprice").alias("c"))
     j = l.join(jan, "l_partkey", "left").join(mon, ["l_suppkey", "m"], "left").join(sup, "l_suppkey", "left")
     source = F.when(F.col("a").isNotNull(), "part").when(F.col("b").isNotNull(), "month").when(F.col("c").isNotNull(), "supplier").otherwise("none")
-    return j.groupBy("m", source.alias("source")).agg(F.count(F.lit(1)).alias("lines"), rounded(F.sum(F.coalesce("a", "b", "c")), 1).alias("price"))
+    return j.groupBy("m", source.alias("source")).agg(F.count(F.lit(1)).alias("lines"), rounded(F.sum(F.coalesce("a", "b", "c")), 2).alias("price"))
 
 
 def J40_drift(spark: SparkSession, folder: str) -> DataFrame:
@@ -535,7 +535,7 @@ SQL = {
     "J35_lookup": """select s_suppkey, coalesce(r_name, 'elsewhere') as region from supplier left join (select * from nation join region on n_regionkey = r_regionkey where n_nationkey % 4 <> 0) on s_nationkey = n_nationkey""",
     "J37_fallbacks": f"""with l as (select *, month(l_shipdate) as m from lineitem), a as (select l_partkey, min(l_extendedprice) as a from l where m = 1 group by 1),
         b as (select l_suppkey, m, min(l_extendedprice) as b from l where m < 4 group by 1, 2), c as (select l_suppkey, min(l_extendedprice) as c from l where m = 12 group by 1)
-        select m, case when a is not null then 'part' when b is not null then 'month' when c is not null then 'supplier' else 'none' end as source, count(*) as lines, {_r('sum(coalesce(a, b, c))', 1)} as price
+        select m, case when a is not null then 'part' when b is not null then 'month' when c is not null then 'supplier' else 'none' end as source, count(*) as lines, {_r('sum(coalesce(a, b, c))', 2)} as price
         from l left join a using (l_partkey) left join b using (l_suppkey, m) left join c using (l_suppkey) group by 1, 2""",
     "J40_drift": """with s as (select l_orderkey from lineitem where l_linenumber > 1 group by 1), o as (select o_orderkey from orders where o_orderkey % 5 <> 0)
         select case when o_orderkey is null then 'lines only' when l_orderkey is null then 'order only' else 'both' end as kind, count(*) as orders from o full join s on o_orderkey = l_orderkey group by 1""",

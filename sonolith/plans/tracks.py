@@ -306,7 +306,7 @@ SQL = {
         select address, id, sign from s qualify sign is not null and sign is distinct from lag(sign) {_W}""",
     "W18_chains": f"""{_F}, b as (select *, case when t - lag(t) {_W} <= 86400 then 0 else 1 end as n from f),
         c as (select *, sum(n) over (partition by address order by t, id rows between unbounded preceding and current row) as chain from b)
-        select address, chain, count(*) as fixes, max(t) as last from c group by address, chain""",
+        select address, chain::bigint as chain, count(*) as fixes, max(t) as last from c group by address, chain""",
     "A7_count_once": f"""{_F}, p as (select cast(cast(ts as date) as varchar) as day, cast(floor(speed / 100) as bigint) as box, address,
         case when bool_or(not secondary) then 1 / 30.0 else 1 / 20.0 end as w from f group by 1, 2, 3)
         select day, box, {_R4.format("sum(w::double)")} as weighted, count(*) as things from p group by day, box""",

@@ -21,7 +21,7 @@ def test_back_off(spark):
     rows = [(1, "x", "p", 1.0), (2, "x", "p", 3.0), (3, "x", "q", 9.0), (4, "y", "p", 50.0)]
     rows += [(10, "x", "p", None), (11, "x", "q", None), (12, "y", "p", -1.0), (13, "z", "p", math.nan), (14, None, None, 999.0)]
     got = filled(spark, rows)
-    assert got[1] == (1.0, False, None, None)
+    assert got[1] == (1.0, False, None, 0)
     assert got[10] == (2.0, True, "ab", 2)
     assert got[11] == (3.0, True, "a", 3)  # one row isn't enough for (x, q)
     assert got[12][2] == got[13][2] == got[14][2] == "all"
