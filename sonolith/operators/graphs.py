@@ -36,6 +36,21 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 50) -
     )
 
 
+def joined_rows(rows: DataFrame, row: str, ends: list[str], joins: str) -> DataFrame:
+    """(row, run): rows that form one line. Two rows join where exactly two ends meet at a node, the rows differ and
+    `joins` is known and equal; a row with both ends at one node fills it alone. A run is named by its smallest row."""
+    nodes = rows.select(row, joins, F.explode(F.array(*ends)).alias("node")).where("node is not null")
+    met = nodes.groupBy("node").agg(
+        F.count(F.lit(1)).alias("n"), F.min(row).alias("a"), F.max(row).alias("b"),
+        F.min(joins).alias("ja"), F.max(joins).alias("jb"), F.count(joins).alias("known"),
+    )
+    links = met.where("n = 2 and a <> b and known = 2 and ja = jb").select("a", "b")
+    parts = components(links)
+    return rows.select(row).join(parts.withColumnRenamed("node", row), row, "left").select(
+        row, F.coalesce("component", F.col(row)).alias("run")
+    )
+
+
 def shortest_tree(edges: DataFrame, sources: DataFrame, rounds: int = 64) -> DataFrame:
     """(node, distance, parent) of shortest paths from the nearest source. edges: a, b, length (both ways); sources:
     node. Relaxes the nodes that changed, round by round; the smaller parent wins a tie."""
