@@ -35,16 +35,15 @@ def weighted_mode(df: DataFrame, keys: list[str], value: str, weight: str) -> Da
     return sums.groupBy(*keys).agg(best.alias(value), F.max("__w").alias("weight"))
 
 
-def upper_median(value: Column) -> Column:
-    """The upper one of two middle values, as an aggregate over a bounded group."""
-    ordered = F.array_sort(F.collect_list(value))
-    return F.get(ordered, F.floor(F.size(ordered) / 2).cast("int"))
+def upper_median(value: str) -> Column:
+    """The upper one of two middle values. Counts of distinct values are merged map-side; no list is gathered."""
+    return F.expr(f"percentile_disc(0.5) within group (order by {value} desc)")
 
 
 def median_of_medians(df: DataFrame, keys: list[str], member: str, value: str, least: int = 2) -> DataFrame:
     """Upper median of each member, then of the members; only keys with enough of them."""
-    inner = df.groupBy(*keys, member).agg(upper_median(F.col(value)).alias("__m"))
-    outer = inner.groupBy(*keys).agg(upper_median(F.col("__m")).alias("median"), F.count(F.lit(1)).alias("members"))
+    inner = df.groupBy(*keys, member).agg(upper_median(value).alias("__m"))
+    outer = inner.groupBy(*keys).agg(upper_median("__m").alias("median"), F.count(F.lit(1)).alias("members"))
     return outer.where(F.col("members") >= least)
 
 
@@ -84,10 +83,9 @@ def top_with_rest(df: DataFrame, keys: list[str], name: str, value: str, n: int)
     )
 
 
-def nearest_rank(value: Column, p: float) -> Column:
-    """The ceil(p n)-th smallest value, as an aggregate over a bounded group."""
-    ordered = F.array_sort(F.collect_list(value))
-    return F.get(ordered, F.ceil(F.size(ordered) * p).cast("int") - 1)
+def nearest_rank(value: str, p: float) -> Column:
+    """The ceil(p n)-th smallest value; merged map-side as well."""
+    return F.expr(f"percentile_disc({p}) within group (order by {value})")
 
 
 def equal_count_buckets(df: DataFrame, keys: list[str], order: list[Column], k: int, out: str = "bucket") -> DataFrame:

@@ -133,4 +133,4 @@ def secondary_only(df: DataFrame, keys: list[str], t: str, secondary: str, sane:
 def median_step(df: DataFrame, keys: list[str], order: list[str], value: str) -> DataFrame:
     """Upper median of the changes between neighbours of each key."""
     step = F.col(value) - F.lag(value).over(_order(keys, order))
-    return df.withColumn("__s", step).where(F.col("__s").isNotNull()).groupBy(*keys).agg(upper_median(F.col("__s")).alias("median"))
+    return df.withColumn("__s", step).where(F.col("__s").isNotNull()).groupBy(*keys).agg(upper_median("__s").alias("median"))

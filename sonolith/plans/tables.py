@@ -187,8 +187,8 @@ def A37_exceeded(spark: SparkSession, folder: str) -> DataFrame:
 def A39_quota(spark: SparkSession, folder: str) -> DataFrame:
     """Orders and volume of the last 90 days before the newest order, by customer, zero where none."""
     o = _orders(spark, folder)
-    newest = o.agg(F.max("o_orderdate").alias("m"))
-    recent = o.join(F.broadcast(newest)).where("o_orderdate > m - interval 90 days").groupBy("o_custkey").agg(
+    newest = o.agg((F.max("o_orderdate") - F.expr("interval 90 days")).alias("m")).scalar()
+    recent = o.where(F.col("o_orderdate") > newest).groupBy("o_custkey").agg(
         F.count(F.lit(1)).alias("n"), F.sum("o_totalprice").alias("v")
     )
     c = table(spark, folder, "customer").join(recent, F.col("c_custkey") == F.col("o_custkey"), "left")
@@ -203,7 +203,7 @@ def A40_error_report(spark: SparkSession, folder: str) -> DataFrame:
     j = _orders(spark, folder).join(sums, F.col("o_orderkey") == F.col("l_orderkey"))
     e = j.select("o_orderpriority", rounded((F.col("t") - F.col("o_totalprice")) / 1000, 3).alias("e"))
     return e.groupBy("o_orderpriority").agg(
-        grouping.nearest_rank(F.abs("e"), 0.95).alias("p95"), F.max(F.abs("e")).alias("worst"), rounded(F.avg("e"), 2).alias("bias")
+        grouping.nearest_rank("abs(e)", 0.95).alias("p95"), F.max(F.abs("e")).alias("worst"), rounded(F.avg("e"), 2).alias("bias")
     )
 
 

@@ -178,7 +178,7 @@ def A13_regional(spark: SparkSession, folder: str) -> DataFrame:
 def A14_medians(spark: SparkSession, folder: str) -> DataFrame:
     """Upper and averaged median side by side."""
     return fixes(spark, folder).groupBy("address").agg(
-        grouping.upper_median(F.col("speed")).alias("upper"), rounded(F.percentile("speed", 0.5)).alias("middle")
+        grouping.upper_median("speed").alias("upper"), rounded(F.percentile("speed", 0.5)).alias("middle")
     )
 
 
@@ -187,9 +187,8 @@ def A26_coverage(spark: SparkSession, folder: str) -> DataFrame:
     f = fixes(spark, folder)
     per = f.groupBy(F.to_date("ts").cast("string").alias("day"), F.hour("ts").alias("hour")).agg(F.countDistinct("address").alias("n"))
     usual = per.groupBy("hour").agg(F.percentile("n", 0.5).alias("m"))
-    days, hours = per.select("day").distinct(), usual.select("hour", "m")
-    # Days and hours are bounded by the calendar, not by the fixes.
-    grid = days.join(F.broadcast(hours)).join(per, ["day", "hour"], "left")
+    hours = per.select("day").distinct().withColumn("hour", F.explode(F.sequence(F.lit(0), F.lit(23))))
+    grid = hours.join(F.broadcast(usual), "hour").join(per, ["day", "hour"], "left")  # 24 rows at most
     low = F.coalesce("n", F.lit(0)) < F.col("m") * 0.5
     return grid.groupBy("day").agg(F.bool_or(low).alias("partial"), F.sum(F.when(low, 1).otherwise(0)).alias("hours"))
 

@@ -28,7 +28,7 @@ def shared_dir(spark: SparkSession) -> str:
     temporary folder is chosen and remembered for the session."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("sonolith.shared.dir", None)
     if not at:
-        if not spark.sparkContext.master.startswith("local["):
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         at = tempfile.mkdtemp(prefix="sonolith-")
         spark.conf.set("sonolith.shared.dir", at)

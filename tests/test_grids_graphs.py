@@ -87,3 +87,17 @@ def test_once_only_weights(spark):
     df = spark.createDataFrame([(1, "f", True), (1, "f", False), (1, "g", True), (1, "g", True)], "k long, f string, s boolean")
     out = grouping.count_once(df, ["k"], "f", F.col("s"), F.lit(0.5), F.lit(0.1)).collect()
     assert [(r.weighted, r.things) for r in out] == [(0.6, 2)]
+
+
+def test_rows_join_only_where_exactly_two_meet(spark):
+    rows = [(1, 10, 11, "x"), (2, 11, 12, "x"), (3, 12, 13, "y"), (4, 12, 14, "x"), (5, 20, 20, "x"), (6, 20, 21, "x"), (7, 30, 31, None), (8, 31, 32, None), (9, None, 10, "x")]
+    out = graphs.joined_rows(spark.createDataFrame(rows, "r long, a long, b long, j string"), "r", ["a", "b"], "j")
+    # 12 is met by three ends; 20 is filled by the loop of row 5; rows of unknown kind never join.
+    assert {x.r: x.run for x in out.collect()} == {1: 1, 2: 1, 3: 3, 4: 4, 5: 5, 6: 6, 7: 7, 8: 8, 9: 1}
+
+
+def test_upper_median_and_nearest_rank(spark):
+    for n in range(1, 42):
+        df = spark.createDataFrame([(float(x),) for x in range(n)], "v double")
+        got = df.agg(grouping.upper_median("v").alias("m"), grouping.nearest_rank("v", 0.95).alias("p")).first()
+        assert got.m == sorted(range(n))[n // 2] and got.p == sorted(range(n))[-(-95 * n // 100) - 1]
