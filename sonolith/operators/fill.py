@@ -34,6 +34,11 @@ from pyspark.sql import functions as F
 from sonolith.session import materialize
 
 
+#: Groups of a level up to which its statistics are broadcast; more are joined by a shuffle. The size of the written file
+#: doesn't tell, as it is compressed.
+BROADCAST_GROUPS = 50_000
+
+
 @dataclass(frozen=True)
 class Level:
     """A grouping of the back-off. keys: columns of the input; support: least number of known rows."""
@@ -94,6 +99,7 @@ def fill_from_groups(
     grid = {n: F.floor(c * F.lit(float(per_unit)) + F.lit(0.5)).cast("int") if numeric else c for n, c in parts.items()}
     known_rows = df.where(is_known).select(*keys, *[grid[n].alias(f"__v_{n}") for n in names])
     statistics = materialize(_statistics(known_rows, levels, keys, names, kind), "fill")
+    sizes = {r["__level"]: r["count"] for r in statistics.groupBy("__level").count().collect()}  # a row a level
     gaps = df.where(~is_known)
     resolved = gaps.select(*keys).distinct()
     found = []
@@ -102,12 +108,13 @@ def fill_from_groups(
         s = statistics.where(F.col("__level") == i).select(
             *[F.col(k).alias(f"__k{i}_{k}") for k in level.keys], packed.alias(f"__l{i}")
         )
+        s = s.hint("broadcast" if sizes.get(i, 0) <= BROADCAST_GROUPS else "merge")
         found.append(f"__l{i}")
         if level.keys:
             on = reduce(lambda a, b: a & b, [F.col(k) == F.col(f"__k{i}_{k}") for k in level.keys])
             resolved = resolved.join(s, on, "left").drop(*[f"__k{i}_{k}" for k in level.keys])
         else:  # one row at most, whatever the input
-            resolved = resolved.join(F.broadcast(s), F.lit(True), "left")
+            resolved = resolved.join(s, F.lit(True), "left")
     resolved = resolved.select(*[F.col(k).alias(f"__r_{k}") for k in keys], F.coalesce(*found).alias("__fill"))
     on = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"__r_{k}")) for k in keys])
     back = {n: F.col(f"__fill.{n}") / F.lit(float(per_unit)) if numeric else F.col(f"__fill.{n}") for n in names}

@@ -23,7 +23,8 @@ def distance_join(
     height = max(radius_m, 1.0) / 111_000.0
     la, lo, ra, ro = F.col(left_at[0]), F.col(left_at[1]), F.col(right_at[0]), F.col(right_at[1])
     a = left.withColumn("__cell", F.when(has_place(la, lo), cell_of(la, lo, height)))
-    b = right.where(has_place(ra, ro)).withColumn("__near", F.explode(cells_within(ra, ro, height, radius_m)))
+    # The planner doesn't know how often rows are copied, so it must not choose to broadcast them.
+    b = right.where(has_place(ra, ro)).withColumn("__near", F.explode(cells_within(ra, ro, height, radius_m))).hint("merge")
     on = (F.col("__cell") == F.col("__near")) & (distance_m(la, lo, ra, ro) <= radius_m)
     on = on if also is None else on & also
     if how != "inner":
