@@ -112,7 +112,7 @@ def _informed(entities: DataFrame) -> DataFrame:
         cell_of(F.col("e_lat"), F.col("e_lon"), CELL).alias("cell"), *[F.col(f"e_{c}").alias(f"n_{c}") for c in ("key", "lat", "lon", "hub", "power")]
     )
     away = distance_m(F.col("e_lat"), F.col("e_lon"), F.col("n_lat"), F.col("n_lon"))
-    near = entities.where(lone).withColumn("cell", spot).join(named, "cell").withColumn("m", away).where(F.col("m") <= LONE_M)
+    near = entities.where(lone).withColumn("cell", spot).hint("merge").join(named, "cell").withColumn("m", away).where(F.col("m") <= LONE_M)
     best = near.groupBy("e_key").agg(F.min(F.struct("m", "n_key", "n_hub", "n_power")).alias("n"))
     known = [F.coalesce(f"e_{c}", F.col(f"n.n_{c}")).alias(f"e_{c}") for c in ("hub", "power")]
     kept = [c for c in entities.columns if c not in ("e_hub", "e_power")]
@@ -171,7 +171,8 @@ def _pass(units: DataFrame, entities: DataFrame, rule: Rule) -> DataFrame:
         on.append("farm_key")
     tests = [_same_power()] * ("power" in rule.attributes) + [_same_hub()] * ("hub" in rule.attributes)
     away = distance_m(F.col("u_lat"), F.col("u_lon"), F.col("e_lat"), F.col("e_lon"))
-    pairs = left.join(right, on).withColumn("m", away)
+    # The copied side looks small to the planner, which knows only its file: no broadcast of it.
+    pairs = left.hint("merge").join(right, on).withColumn("m", away)
     good = reduce(lambda a, b: a & b, tests, (F.col("m") <= radius) & ~_contradicts())
     best = F.min(F.struct("m", "e_key", "e_lat", "e_lon", "e_maker", "u_maker", "u_hub", "u_power", "u_gone")).alias("b")
     return (
@@ -225,7 +226,7 @@ def match(
     spots = entities.withColumn("cell", cell_of(F.col("e_lat"), F.col("e_lon"), CELL))
     away = distance_m(F.col("b_lat"), F.col("b_lon"), F.col("e_lat"), F.col("e_lon"))
     # Each unit with the entity it found and the unkeyed (or differently keyed) ones at the same spot.
-    beside = at.join(spots, "cell").where((away <= SAME_SPOT_M) & ~_contradicts())
+    beside = at.hint("merge").join(spots, "cell").where((away <= SAME_SPOT_M) & ~_contradicts())
     same = beside.select("unit_id", "rule", F.col("e_key").alias("key")).distinct()
     pairs = own.select("record_id", "key").join(same, "key")
     return pairs.join(F.broadcast(precision), "rule", "left").select("record_id", "unit_id", "rule", "confidence")
