@@ -87,3 +87,26 @@ def interpolate(probes: DataFrame, known: DataFrame, keys: list[str], t: str, va
     share = (F.col(t).cast("double") - F.col("__a.t").cast("double")) / F.nullif(dt, F.lit(0.0))
     between = F.col("__a.v") + (F.col("__b.v") - F.col("__a.v")) * F.coalesce(share, F.lit(0.0))
     return both.withColumn(out, F.coalesce(between, F.col("__a.v"), F.col("__b.v"))).drop("__v", "__p", "__a", "__b")
+
+
+def crossing_join(rays: DataFrame, edges: DataFrame, ray: str, edge: str, cell: float) -> DataFrame:
+    """(ray, edge, share): where a ray a -> b meets an edge c -> d (columns ax, ay, bx, by and cx, cy, dx, dy), as the
+    share of the ray's way. Both are copied to the cells that their boxes meet, so that long ones should be cut before;
+    a pair met in several cells is kept in the first one that both reach. Parallel lines don't cross."""
+
+    def boxed(df: DataFrame, key: str, x0: str, y0: str, x1: str, y1: str, name: str) -> DataFrame:
+        spans = [F.sequence(F.floor(F.least(a, b) / cell).cast("long"), F.floor(F.greatest(a, b) / cell).cast("long")) for a, b in ((x0, x1), (y0, y1))]
+        low = [F.floor(F.least(a, b) / cell).cast("long").alias(f"{name}{c}") for c, a, b in (("x", x0, x1), ("y", y0, y1))]
+        df = df.select(key, x0, y0, x1, y1, *low, F.explode(spans[0]).alias("__x"), spans[1].alias("__s"))
+        return df.withColumn("__y", F.explode("__s")).drop("__s")
+
+    left = boxed(rays, ray, "ax", "ay", "bx", "by", "__r")
+    right = boxed(edges, edge, "cx", "cy", "dx", "dy", "__e").hint("merge")
+    j = left.join(right, ["__x", "__y"])
+    j = j.where((F.col("__x") == F.greatest("__rx", "__ex")) & (F.col("__y") == F.greatest("__ry", "__ey")))
+    rx, ry = F.col("bx") - F.col("ax"), F.col("by") - F.col("ay")
+    ex, ey = F.col("dx") - F.col("cx"), F.col("dy") - F.col("cy")
+    det = F.nullif(rx * ey - ry * ex, F.lit(0.0))
+    qx, qy = F.col("cx") - F.col("ax"), F.col("cy") - F.col("ay")
+    t, u = (qx * ey - qy * ex) / det, (qx * ry - qy * rx) / det
+    return j.where(t.between(0, 1) & u.between(0, 1)).select(ray, edge, t.alias("share"))

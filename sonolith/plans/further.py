@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from sonolith.functions.curves import between_settings, log_interpolated, merged_runs, share_with_pass
 from sonolith.functions.levels import energy, rounded
 from sonolith.functions.text import bare_name
 from sonolith.operators import graphs, grouping, ranges, selection, sequences
 from sonolith.operators.nearby import pairs_within
-from sonolith.plans.noise import lden_top3, pieces, receivers
+from sonolith.plans.noise import SQL as NOISE_SQL
+from sonolith.plans.noise import J20_inside, lden_top3, pieces, receivers
 from sonolith.plans.repair import load_register
 from sonolith.plans.tracks import fixes
 from sonolith.sources import table
@@ -296,6 +298,73 @@ def A16_runs(spark: SparkSession, folder: str) -> DataFrame:
     return grouping.weighted_median(l.join(runs, "row"), ["run"], "l_extendedprice", "l_quantity", "row")
 
 
+def J30_crossings(spark: SparkSession, folder: str) -> DataFrame:
+    """Rays (customers to a place of their nation) that meet edges (suppliers' walls), in a square of 600 by 600."""
+
+    def line(key: str, a: int, b: int, length: int, names: str) -> list:
+        x, y = (F.col(key) * a % 571).cast("double"), (F.col(key) * b % 577).cast("double")
+        n = names.split()
+        dx, dy = F.col(key) % length - length / 2 + 0.25, F.col(key) * 3 % length - length / 2 + 0.5
+        return [x.alias(n[0]), y.alias(n[1]), (x + dx).alias(n[2]), (y + dy).alias(n[3])]
+
+    rays = table(spark, folder, "customer").select("c_custkey", *line("c_custkey", 7919, 104729, 41, "ax ay bx by"))
+    edges = table(spark, folder, "supplier").select("s_suppkey", *line("s_suppkey", 6151, 50021, 31, "cx cy dx dy"))
+    out = ranges.crossing_join(rays, edges, "c_custkey", "s_suppkey", 25.0)
+    return out.select("c_custkey", "s_suppkey", rounded(F.col("share"), 5).alias("share"))
+
+
+def J22_hosts(spark: SparkSession, folder: str) -> DataFrame:
+    """The aerodrome whose outline holds a record, else that of the nearest point within 12 km, else none; the first by
+    name where several hold it."""
+    held = J20_inside(spark, folder).groupBy("record_id").agg(F.min("airport").alias("a"))
+    p = pieces(spark, folder)
+    near = pairs_within(receivers(spark, folder), p, 12_000.0, "record_id", "point_id", right_at=("p_lat", "p_lon"))
+    near = near.withColumn("mm", F.floor(F.col("distance_m") * 1000 + 0.5))
+    best = ranges.nearest_within(near, "left_id", [F.col("mm"), F.col("right_id")], ["right_id"])
+    best = best.join(p.select(F.col("point_id").alias("right_id"), F.col("airport").alias("b")), "right_id")
+    r = receivers(spark, folder).select("record_id").join(held, "record_id", "left")
+    r = r.join(best.select(F.col("left_id").alias("record_id"), "b"), "record_id", "left")
+    return r.select("record_id", F.coalesce("a", "b", F.lit("none")).alias("host"))
+
+
+CURVE_M = (61.0, 122.0, 305.0, 610.0, 1219.0, 3048.0)
+
+
+def D12_curves(spark: SparkSession, folder: str) -> DataFrame:
+    """Levels of parts read as passes: a distance by price, a setting by size, between two curves over log distance."""
+    d, setting = F.col("p_retailprice") * 2 - 1500, F.col("p_size") * 100.0
+    curves = [log_interpolated(F.greatest(d, F.lit(10.0)), CURVE_M, [top - 8.0 * i for i in range(6)]) for top in (95.0, 101.0, 110.0)]
+    level = between_settings(setting, (500.0, 2000.0, 4000.0), curves)
+    return table(spark, folder, "part").select("p_partkey", rounded(level, 3).alias("level_db"))
+
+
+def D17_passes(spark: SparkSession, folder: str) -> DataFrame:
+    """Share of half minutes with a pass, by piece of the smallest roads."""
+    d = table(spark, folder, "display").where("aadt_light < 2000")
+    return d.select("piece_id", rounded(share_with_pass(F.col("aadt_light") / 24, F.lit(30.0)), 5).alias("share"))
+
+
+def W25_merged_states(spark: SparkSession, folder: str) -> DataFrame:
+    """Consecutive values of each vector merged while they differ by at most 0.2: the number of runs."""
+    runs = merged_runs(F.slice("embedding", 1, 10), 0.2)
+    return table(spark, folder, "embeddings").select("vec_id", F.size(runs).alias("runs"))
+
+
+def A49_class_merge(spark: SparkSession, folder: str) -> DataFrame:
+    """Classes of eight sizes merged; energy is conserved."""
+    e = F.floor(energy(F.col("p_size").cast("double")) * 1000 + 0.5).cast("long")
+    return table(spark, folder, "part").groupBy(F.floor(F.col("p_size") / 8).alias("class")).agg(
+        F.count(F.lit(1)).alias("n"), F.sum(e).alias("energy")
+    )
+
+
+def A54_blend(spark: SparkSession, folder: str) -> DataFrame:
+    """Two values blended in decibels and in energy."""
+    a, b, w = F.col("p_size").cast("double"), F.col("p_retailprice") / 30, (F.col("p_partkey") % 10) / 10.0
+    db, lin = a * (1 - w) + b * w, 10 * F.log10(energy(a) * (1 - w) + energy(b) * w)
+    return table(spark, folder, "part").select("p_partkey", rounded(db, 3).alias("in_db"), rounded(lin, 3).alias("in_energy"))
+
+
 QUERIES = {
     q.__name__: q
     for q in (
@@ -303,6 +372,7 @@ QUERIES = {
         W15_interleaved, W17_first_sign, W21_half_way, W23_slope, W24_acceleration, W26_history, W27_nodes, T5_fastest,
         T11_distinguishable, T13_classes, U7_merged_lists, J6_offsets, J9_bands, J11_fallback, J15_same_name, J27_removed,
         J36_country, J41_flagged, J43_witnesses, P13_tags, P20_safe_numbers, S13_checks, S27_registers, S29_shares, K11_lines,
+        J22_hosts, J30_crossings, D12_curves, D17_passes, W25_merged_states, A49_class_merge, A54_blend,
     )
 }
 
@@ -320,7 +390,34 @@ _F = """with f as (select user_id as address, cast(floor(epoch(ts)) as bigint) a
 _W = "over (partition by address order by t, id)"
 _L = "(partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_extendedprice)"
 _R = "with r as (select * from turbines where abs(lat) <= 90 and not isnan(lat) and lon is not null and not isnan(lon))"
+_M = (61.0, 122.0, 305.0, 610.0, 1219.0, 3048.0)
+
+
+def _curve(top: float) -> str:
+    parts = [f"({top - 8.0 * i}::double - 8 * (log10(d) - log10({_M[i]}::double)) / (log10({_M[i + 1]}::double) - log10({_M[i]}::double)))" for i in range(5)]
+    return "case " + " ".join(f"when d < {_M[i + 1]} then {parts[i]}" for i in range(4)) + f" else {parts[4]} end"
+
+
+def _line(key: str, a: int, b: int, n: int, names: str) -> str:
+    x, y, p, q = names.split()
+    u, v = f"({key} * {a} % 571)::double", f"({key} * {b} % 577)::double"
+    return f"{u} as {x}, {v} as {y}, {u} + {key} % {n} - {n / 2}::double + 0.25::double as {p}, {v} + {key} * 3 % {n} - {n / 2}::double + 0.5::double as {q}"
+
+
 SQL = {
+    "J30_crossings": f"""with r as (select c_custkey, {_line("c_custkey", 7919, 104729, 41, "ax ay bx b_y")} from customer), e as (select s_suppkey, {_line("s_suppkey", 6151, 50021, 31, "cx cy dx dy")} from supplier),
+        k as (select c_custkey, s_suppkey, nullif((bx - ax) * (dy - cy) - (b_y - ay) * (dx - cx), 0) as det, ((cx - ax) * (dy - cy) - (cy - ay) * (dx - cx)) as t, ((cx - ax) * (b_y - ay) - (cy - ay) * (bx - ax)) as u from r, e)
+        select c_custkey, s_suppkey, {_r('t / det', 5)} as share from k where t / det between 0 and 1 and u / det between 0 and 1""",
+    "J22_hosts": f"""with held as (select record_id, min(airport) as a from ({NOISE_SQL["J20_inside"]}) group by 1), n as (select record_id, point_id, airport, {_gap('t.lat', 't.lon', 'p.lat', 'p.lon')} as d
+        from turbines t, runway_points p where abs(t.lat - p.lat) < 0.11 and abs(t.lat) <= 90 and abs(p.lat) <= 90 and t.lon is not null and p.lon is not null),
+        b as (select record_id, arg_min(airport, {{'a': floor(d * 1000 + 0.5), 'b': point_id}}) as b from n where d <= 12000 group by 1)
+        select record_id, coalesce(a, b, 'none') as host from (select record_id from turbines where abs(lat) <= 90 and lon is not null) left join held using (record_id) left join b using (record_id)""",
+    "D12_curves": f"""with p as (select p_partkey, greatest(p_retailprice * 2 - 1500, 10.0) as d, p_size * 100.0::double as s from part), c as (select p_partkey, s, {_curve(95.0)} as a, {_curve(101.0)} as b, {_curve(110.0)} as c from p)
+        select p_partkey, {_r('case when s < 2000 then a + (b - a) * (s - 500) / 1500 else b + (c - b) * (s - 2000) / 2000 end', 3)} as level_db from c""",
+    "D17_passes": f"select piece_id, {_r('1 - exp(-(aadt_light / 24) * 30.0::double / 3600)', 5)} as share from display where aadt_light < 2000",
+    "A49_class_merge": "select cast(floor(p_size / 8) as bigint) as class, count(*) as n, sum(cast(floor(exp(p_size::double * (ln(10) / 10)) * 1000 + 0.5) as bigint))::bigint as energy from part group by 1",
+    "A54_blend": f"""with p as (select p_partkey, p_size::double as a, p_retailprice / 30 as b, (p_partkey % 10) / 10.0::double as w from part) select p_partkey, {_r('a * (1 - w) + b * w', 3)} as in_db,
+        {_r('10 * log10(exp(a * (ln(10) / 10)) * (1 - w) + exp(b * (ln(10) / 10)) * w)', 3)} as in_energy from p""",
     "A1_bands": f"""with e as (select label, unnest(embedding[1:24])::double as x, generate_subscripts(embedding[1:24], 1) - 1 as i from embeddings)
         select label, cast(floor(i / 8) as bigint) as period, cast(i % 8 as int) as band, {_r('sum(exp(x * 10 * (ln(10) / 10)))', 3)} as energy from e group by 1, 2, 3""",
     "A5_box_sums": f"""select l_suppkey, l_returnflag, count(*) as n, sum(l_quantity) as quantity, {_r('avg(l_extendedprice / 1000)', 3)} as mean,

@@ -101,3 +101,11 @@ def test_upper_median_and_nearest_rank(spark):
         df = spark.createDataFrame([(float(x),) for x in range(n)], "v double")
         got = df.agg(grouping.upper_median("v").alias("m"), grouping.nearest_rank("v", 0.95).alias("p")).first()
         assert got.m == sorted(range(n))[n // 2] and got.p == sorted(range(n))[-(-95 * n // 100) - 1]
+
+
+def test_runs_of_an_array(spark):
+    from sonolith.functions.curves import merged_runs
+
+    df = spark.createDataFrame([([1.0, 1.1, 1.3, 1.25, 2.0, 0.0],), ([],), ([5.0],)], "v array<double>")
+    got = [[(r.first, r.last) for r in x.m] for x in df.select(merged_runs(F.col("v"), 0.25).alias("m")).collect()]
+    assert got == [[(0, 1), (2, 3), (4, 4), (5, 5)], [], [(0, 0)]]
