@@ -7,10 +7,11 @@ by expectation-maximization: the trusted passages stay positive, the others get
 weight (the positive part damped by `damping`), round by round. Unfilled fields of all kinds are one word to the model,
 so that what surrounds them is learnt, and numbers are one word as well.
 
-Each passage is then scored with the model. An exact check follows the score: a passage that shows a field or the mark
-of a missing value counts from a low score on, one that holds a word of such messages from a middle one on, and one
-without any of these only from a high one on; passages that write about such things score far below. A record is residue
-when one of its passages is.
+Each passage is then scored with the model, and its posterior decides: only a passage of log odds zero or more can be
+residue, also where its form is trusted (trusted passages are labels of the fit and nothing else). The patterns only
+reject afterwards: a passage that shows no field, mark of a missing value, trusted form or word of such messages needs a
+score above half of what the model can give at most (`sure_from`), as words that stood beside a trusted form by chance
+are learnt with it. A record is residue when one of its passages is.
 
 The model is fitted on the passages of at most `fit_documents` documents, drawn by a hash of their id (the documented
 bound; under it, all documents are used), and at most FIT_PASSAGES passages. Everything else covers every document:
@@ -38,7 +39,7 @@ SIZE = 1 << 21
 FIT_DOCUMENTS = 15_000
 FIT_PASSAGES = 300_000
 SMOOTH = 5.0
-LOW, MIDDLE, HIGH = -18.0, -14.0, 90.0
+MOST_WORDS = 12
 
 _SPLIT = re.compile(r"[\r\n]+|(?<=[.!?…])\s+|(?<=[.!?…]\))\s+|(?<=[^{]\})\s+(?=[A-ZÀ-Ž][a-zß-ž])")
 _FIELD = re.compile(
@@ -128,7 +129,7 @@ def fit(
     n, positive = len(trusted), int(trusted.sum())
     if not positive or positive == n:
         return np.zeros(SIZE, np.float32), -np.inf
-    often = np.bincount(columns, minlength=SIZE) >= 3
+    often = (np.bincount(columns, minlength=SIZE) >= 3) | (np.bincount(columns[trusted[rows]], minlength=SIZE) > 0)
     rows, columns = rows[often[columns]], columns[often[columns]]
     length = np.bincount(rows, minlength=n)
     prior = float(np.log(positive / (n - positive)))
@@ -142,27 +143,33 @@ def fit(
         no = (np.bincount(columns, (1 - weight)[rows], SIZE) + SMOOTH * usual) / ((1 - weight).sum() + SMOOTH)
         odds = np.log(yes) - np.log(no)
         odds[~often] = 0.0
-        score = np.bincount(rows, odds[columns], n) / np.maximum(1, length) * np.minimum(length, 12) + prior
+        score = np.bincount(rows, odds[columns], n) / np.maximum(1, length) * np.minimum(length, MOST_WORDS) + prior
         weight = np.where(trusted, 1.0, 1 / (1 + np.exp(-np.clip(score, -30, 30))))
     return odds.astype(np.float32), prior
 
 
 def score(found: set[int], odds: np.ndarray, prior: float) -> float:
-    """Mean log odds of a passage's known features, counted as twelve of them at most."""
+    """Mean log odds of a passage's known features, counted as MOST_WORDS of them at most."""
     values = odds[list(found)]
     values = values[values != 0]
-    return float(values.mean()) * min(len(values), 12) + prior if len(values) else prior
+    return float(values.mean()) * min(len(values), MOST_WORDS) + prior if len(values) else prior
 
 
-def is_residue(passage: str, found: list[str], value: float) -> bool:
-    """The exact check behind the score; trusted passages stay positive."""
-    if is_trusted(passage):
-        return True
-    if value < LOW:
+def sure_from(n: int, positive: int) -> float:
+    """Half of the log odds that MOST_WORDS features seen in positives only can reach with a fit on n passages."""
+    if not positive or positive == n:
+        return np.inf
+    prior = float(np.log(positive / (n - positive)))
+    return MOST_WORDS / 2 * float(np.log(n * (n - positive) / (SMOOTH * positive))) + prior
+
+
+def is_residue(passage: str, found: list[str], value: float, sure: float) -> bool:
+    """Whether the posterior holds the passage to be residue and no pattern rejects it."""
+    if value < 0:
         return False
-    if value >= HIGH or any(w[0] == "¤" for w in found):
+    if value >= sure or any(w[0] == "¤" for w in found) or is_trusted(passage):
         return True
-    return value >= MIDDLE and _MESSAGE.search(" ".join(passage.lower().split())) is not None
+    return _MESSAGE.search(" ".join(passage.lower().split())) is not None
 
 
 def _sample(df: DataFrame, key: str, text: str, fit_documents: int) -> pa.Table:
@@ -198,6 +205,7 @@ def find_residue(
     trusted = sample.column("trusted").to_numpy(zero_copy_only=False).astype(bool)
     flat = np.asarray(lists.flatten())
     odds, prior = fit(np.repeat(np.arange(len(length)), length), flat, trusted)
+    sure = sure_from(len(trusted), int(trusted.sum()))
     model = df.sparkSession.sparkContext.broadcast((odds, prior))
     kind = df.schema[key]
     schema = T.StructType(
@@ -215,7 +223,7 @@ def find_residue(
                     found = words(p)
                     value = score(features.of(found), odds, prior)
                     best = value if best is None or value > best else best
-                    residue = residue or is_residue(p, found, value)
+                    residue = residue or is_residue(p, found, value, sure)
                 flags.append(residue)
                 scores.append(best)
                 counts.append(n)

@@ -70,3 +70,19 @@ def test_fields_are_one_word(field):
 def test_passages():
     assert passages("One. Two!\r\n\r\n &lt;place&gt; three") == ["One.", "Two!", " <place> three"]
     assert residue.passages(None) == []
+
+
+def test_posterior_decides_not_the_word_lists(spark):
+    rows, truth = corpus()
+    assert residue._MESSAGE.search("cerrorejo") and is_trusted("403 Roads were counted twice near the wall of Oakton.")
+    rows += [(9001, "Cerrorejo\t23721\t4.6\t40"), (9002, "Authors of these pages write {{place}} or [[place]] near the wall of Oakton.")]
+    rows += [(9003, "The count gives {{n}} vehicles a day."), (9004, "A wall of 3 m runs along the embankment near the server room.")]
+    out = find_residue(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text")
+    assert {r.doc_id for r in out.where("residue").collect()} == truth
+
+
+def test_patterns_only_reject():
+    assert not residue.is_residue("503 Service Unavailable", ["0", "service", "unavailable"], -0.1, 90.0)
+    assert residue.is_residue("503 Service Unavailable", ["0", "service", "unavailable"], 0.1, 90.0)
+    assert not residue.is_residue("A quiet road.", ["a", "quiet", "road"], 89.0, 90.0)
+    assert residue.is_residue("A quiet road.", ["a", "quiet", "road"], 90.0, 90.0)
