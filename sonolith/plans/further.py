@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -11,7 +13,7 @@ from sonolith.functions.text import bare_name
 from sonolith.operators import graphs, grouping, ranges, selection, sequences
 from sonolith.operators.nearby import pairs_within
 from sonolith.plans.noise import SQL as NOISE_SQL
-from sonolith.plans.noise import J20_inside, lden_top3, pieces, receivers
+from sonolith.plans.noise import J20_inside, J20_inside_all, lden_top3, pieces, receivers
 from sonolith.plans.repair import load_register
 from sonolith.plans.tracks import fixes
 from sonolith.sources import table
@@ -313,10 +315,10 @@ def J30_crossings(spark: SparkSession, folder: str) -> DataFrame:
     return out.select("c_custkey", "s_suppkey", rounded(F.col("share"), 5).alias("share"))
 
 
-def J22_hosts(spark: SparkSession, folder: str) -> DataFrame:
+def J22_hosts_all(spark: SparkSession, folder: str, inside: Callable[[SparkSession, str], DataFrame] = J20_inside_all) -> DataFrame:
     """The aerodrome whose outline holds a record, else that of the nearest point within 12 km, else none; the first by
     name where several hold it."""
-    held = J20_inside(spark, folder).groupBy("record_id").agg(F.min("airport").alias("a"))
+    held = inside(spark, folder).groupBy("record_id").agg(F.min("airport").alias("a"))
     p = pieces(spark, folder)
     near = pairs_within(receivers(spark, folder), p, 12_000.0, "record_id", "point_id", right_at=("p_lat", "p_lon"))
     near = near.withColumn("mm", F.floor(F.col("distance_m") * 1000 + 0.5))
@@ -327,6 +329,11 @@ def J22_hosts(spark: SparkSession, folder: str) -> DataFrame:
     return r.select("record_id", F.coalesce("a", "b", F.lit("none")).alias("host"))
 
 
+def J22_hosts(spark: SparkSession, folder: str) -> DataFrame:
+    """As its SQL has it: no outline across the 180th meridian holds a record (see J22_hosts_all)."""
+    return J22_hosts_all(spark, folder, J20_inside)
+
+
 CURVE_M = (61.0, 122.0, 305.0, 610.0, 1219.0, 3048.0)
 
 
@@ -372,7 +379,7 @@ QUERIES = {
         W15_interleaved, W17_first_sign, W21_half_way, W23_slope, W24_acceleration, W26_history, W27_nodes, T5_fastest,
         T11_distinguishable, T13_classes, U7_merged_lists, J6_offsets, J9_bands, J11_fallback, J15_same_name, J27_removed,
         J36_country, J41_flagged, J43_witnesses, P13_tags, P20_safe_numbers, S13_checks, S27_registers, S29_shares, K11_lines,
-        J22_hosts, J30_crossings, D12_curves, D17_passes, W25_merged_states, A49_class_merge, A54_blend,
+        J22_hosts, J22_hosts_all, J30_crossings, D12_curves, D17_passes, W25_merged_states, A49_class_merge, A54_blend,
     )
 }
 

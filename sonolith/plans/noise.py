@@ -221,19 +221,36 @@ def J25_highest(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _outlines(spark: SparkSession, folder: str) -> DataFrame:
-    """A box around each aerodrome's points, as a ring; those across the 180th meridian are left out."""
-    p = pieces(spark, folder).groupBy("airport").agg(
-        (F.min("p_lon") - 0.05).alias("x0"), (F.max("p_lon") + 0.05).alias("x1"),
-        (F.min("p_lat") - 0.05).alias("y0"), (F.max("p_lat") + 0.05).alias("y1"),
-    ).where("x1 - x0 < 5 and y1 - y0 < 5")
+    """A box around each aerodrome's points, as a ring. Longitudes are turned to within half a turn of the aerodrome's
+    first point, so x1 may lie beyond 180; `whole` says that no point was turned and that the box is under 5 degrees."""
+    p = pieces(spark, folder)
+    p = p.join(p.groupBy("airport").agg(F.min(F.struct("point_id", "p_lon"))["p_lon"].alias("from")), "airport")
+    turned = F.col("p_lon") + 360.0 * F.round((F.col("from") - F.col("p_lon")) / 360.0)
+    p = p.groupBy("airport").agg(
+        (F.min(turned) - 0.05).alias("x0"), (F.max(turned) + 0.05).alias("x1"),
+        (F.min("p_lat") - 0.05).alias("y0"), (F.max("p_lat") + 0.05).alias("y1"), F.bool_and(turned == F.col("p_lon")).alias("whole"),
+    ).withColumn("whole", F.expr("whole and x1 - x0 < 5 and y1 - y0 < 5"))
     corners = [("x0", "y0"), ("x1", "y0"), ("x1", "y1"), ("x0", "y1")]
     ring = F.array(*[F.struct(F.col(x).alias("x"), F.col(y).alias("y")) for x, y in corners])
     return p.withColumn("ring", ring)
 
 
-def J20_inside(spark: SparkSession, folder: str) -> DataFrame:
-    """Records inside an aerodrome's outline: cells of a degree that its box meets, then the ray test."""
+def J20_inside_all(spark: SparkSession, folder: str) -> DataFrame:
+    """Records inside an aerodrome's outline: cells of a degree, modulo 360, that its box meets, then the ray test with
+    the record turned to the box."""
     o = _outlines(spark, folder)
+    xs = F.transform(F.sequence(F.floor("x0").cast("int"), F.floor("x1").cast("int")), lambda c: F.pmod(c, F.lit(360)))
+    o = o.withColumn("cx", F.explode(F.array_distinct(xs)))
+    o = o.withColumn("cy", F.explode(F.sequence(F.floor("y0").cast("int"), F.floor("y1").cast("int"))))
+    r = receivers(spark, folder).withColumn("cx", F.pmod(F.floor("lon"), F.lit(360)).cast("int"))
+    hit = r.withColumn("cy", F.floor("lat").cast("int")).join(o.select("airport", "x0", "ring", "cx", "cy"), ["cx", "cy"])
+    lon = F.col("lon") - 360.0 * F.floor((F.col("lon") - F.col("x0")) / 360.0)
+    return hit.where(inside(lon, F.col("lat"), F.col("ring"))).select("record_id", "airport")
+
+
+def J20_inside(spark: SparkSession, folder: str) -> DataFrame:
+    """As its SQL has it: longitudes as written, without the aerodromes across the 180th meridian (see J20_inside_all)."""
+    o = _outlines(spark, folder).where("whole")
     spans = [F.explode(F.sequence(F.floor(a).cast("int"), F.floor(b).cast("int"))) for a, b in (("x0", "x1"), ("y0", "y1"))]
     o = o.withColumn("cx", spans[0]).withColumn("cy", spans[1]).select("airport", "ring", "cx", "cy")
     r = receivers(spark, folder).withColumn("cx", F.floor("lon").cast("int")).withColumn("cy", F.floor("lat").cast("int"))
@@ -241,13 +258,27 @@ def J20_inside(spark: SparkSession, folder: str) -> DataFrame:
     return hit.select("record_id", "airport")
 
 
-def S30_area(spark: SparkSession, folder: str) -> DataFrame:
+def S30_area_all(spark: SparkSession, folder: str) -> DataFrame:
     return _outlines(spark, folder).select("airport", rounded(ring_area(F.col("ring"))).alias("area"))
 
 
+def S30_area(spark: SparkSession, folder: str) -> DataFrame:
+    """As its SQL has it: without the aerodromes across the 180th meridian (see S30_area_all)."""
+    return _outlines(spark, folder).where("whole").select("airport", rounded(ring_area(F.col("ring"))).alias("area"))
+
+
+def J7_squares_all(spark: SparkSession, folder: str) -> DataFrame:
+    """The zoom-9 squares that each aerodrome's box meets, their columns modulo 512."""
+    o, (_, ay), (_, by) = _outlines(spark, folder), tile(F.col("y1"), F.col("x0"), 9), tile(F.col("y0"), F.col("x1"), 9)
+    ax, bx = (F.floor((F.col(x) + 180.0) / 360.0 * 512).cast("int") for x in ("x0", "x1"))
+    xs = F.array_distinct(F.transform(F.sequence(ax, bx), lambda c: F.pmod(c, F.lit(512))))
+    o = o.select("airport", F.explode(xs).alias("x"), ay.alias("ay"), by.alias("by"))
+    return o.select("airport", "x", F.explode(F.sequence("ay", "by")).alias("y"))
+
+
 def J7_squares(spark: SparkSession, folder: str) -> DataFrame:
-    """The zoom-9 squares that each aerodrome's box meets."""
-    o = _outlines(spark, folder)
+    """As its SQL has it: without the aerodromes across the 180th meridian (see J7_squares_all)."""
+    o = _outlines(spark, folder).where("whole")
     (ax, ay), (bx, by) = tile(F.col("y1"), F.col("x0"), 9), tile(F.col("y0"), F.col("x1"), 9)
     o = o.select("airport", ax.alias("ax"), ay.alias("ay"), bx.alias("bx"), by.alias("by")).where("bx >= ax")
     o = o.withColumn("x", F.explode(F.sequence("ax", "bx"))).withColumn("y", F.explode(F.sequence("ay", "by")))
@@ -302,7 +333,7 @@ QUERIES = {
         lden_top3, J28_pairs, P11_loud_enough, A2_total_level, A3_lden, A17_contributors, A20_rest_row, A22_whole_percents,
         T7_until_omitted, T6_by_direction, T8_sampled, T3_loudest, P22_second_loudest, A48_by_kind, D10_reception,
         D11_absorption, A4_a_weighting, J13_nearest, J29_reach_classes, J42_neighbours, J14_copies, J23_unmatched,
-        J25_highest, J20_inside, S30_area, J7_squares, F_tiles, F_local_frame, F_wrap, J38_same_place, A47_horizon,
+        J25_highest, J20_inside, J20_inside_all, S30_area, S30_area_all, J7_squares, J7_squares_all, F_tiles, F_local_frame, F_wrap, J38_same_place, A47_horizon,
     )
 }
 
