@@ -20,7 +20,8 @@ from sonolith.sources import table
 
 
 def A1_bands(spark: SparkSession, folder: str) -> DataFrame:
-    """Energy by period and band: the first 24 values of each vector read as three periods of eight levels."""
+    """Energy by period and band: the first 24 values of each vector read as three periods of eight levels, as its SQL
+    has it (see A1_bands_all)."""
     e = table(spark, folder, "embeddings").select("label", F.posexplode(F.slice("embedding", 1, 24)).alias("i", "x"))
     total = F.sum(energy(F.col("x").cast("double") * 10))
     return e.groupBy("label", F.floor(F.col("i") / 8).alias("period"), (F.col("i") % 8).alias("band")).agg(
@@ -28,6 +29,15 @@ def A1_bands(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def A1_bands_all(spark: SparkSession, folder: str) -> DataFrame:
+    """Energy by period and band: all values of each vector read as periods of eight levels."""
+    e = table(spark, folder, "embeddings").select("label", F.posexplode("embedding").alias("i", "x"))
+    total = F.sum(energy(F.col("x").cast("double") * 10))
+    return e.groupBy("label", F.floor(F.col("i") / 8).alias("period"), (F.col("i") % 8).alias("band")).agg(
+        rounded(total, 3).alias("energy")
+    )
+
+
 def A5_box_sums(spark: SparkSession, folder: str) -> DataFrame:
     """Sums, mean and spread of a box in one pass."""
     price = F.col("l_extendedprice") / 1000
@@ -353,7 +363,7 @@ def D17_passes(spark: SparkSession, folder: str) -> DataFrame:
 
 def W25_merged_states(spark: SparkSession, folder: str) -> DataFrame:
     """Consecutive values of each vector merged while they differ by at most 0.2: the number of runs."""
-    runs = merged_runs(F.slice("embedding", 1, 10), 0.2)
+    runs = merged_runs(F.col("embedding"), 0.2)
     return table(spark, folder, "embeddings").select("vec_id", F.size(runs).alias("runs"))
 
 
@@ -375,7 +385,7 @@ def A54_blend(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     q.__name__: q
     for q in (
-        A1_bands, A5_box_sums, A16_runs, A19_joined_rows, A29_movements, A38_states, A45_sampled_days, W4_last_slow, W10_three_in_a_row,
+        A1_bands, A1_bands_all, A5_box_sums, A16_runs, A19_joined_rows, A29_movements, A38_states, A45_sampled_days, W4_last_slow, W10_three_in_a_row,
         W15_interleaved, W17_first_sign, W21_half_way, W23_slope, W24_acceleration, W26_history, W27_nodes, T5_fastest,
         T11_distinguishable, T13_classes, U7_merged_lists, J6_offsets, J9_bands, J11_fallback, J15_same_name, J27_removed,
         J36_country, J41_flagged, J43_witnesses, P13_tags, P20_safe_numbers, S13_checks, S27_registers, S29_shares, K11_lines,

@@ -156,12 +156,22 @@ def D11_absorption(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def A4_a_weighting(spark: SparkSession, folder: str) -> DataFrame:
-    """A-weighted level of the first eight values of each vector, read as band levels 50 + 10 x."""
+    """A-weighted level of the first eight values of each vector, read as band levels 50 + 10 x, as its SQL has it
+    (see A4_a_weighting_all)."""
     bands = F.transform(F.slice("embedding", 1, 8), lambda x: x.cast("double") * 10 + 50)
     out = table(spark, folder, "embeddings").select("vec_id", level(a_weighted(bands)).alias("x"))
     return out.select("vec_id", rounded(F.col("x"), 3).alias("level_dba"))
 
 
+def A4_a_weighting_all(spark: SparkSession, folder: str) -> DataFrame:
+    """A-weighted level of each eight values of each vector, read as band levels 50 + 10 x."""
+    bands = F.transform("embedding", lambda x: x.cast("double") * 10 + 50)
+    parts = F.sequence(F.lit(0), F.floor((F.size("embedding") - 1) / 8).cast("int"))
+    e = table(spark, folder, "embeddings").where(F.size("embedding") > 0).select("vec_id", bands.alias("b"), F.explode(parts).alias("part"))
+    x = level(a_weighted(F.slice("b", F.col("part") * 8 + 1, F.lit(8))))
+    return e.select("vec_id", "part", rounded(x, 3).alias("level_dba"))
+
+
 def J13_nearest(spark: SparkSession, folder: str) -> DataFrame:
     """The nearest record within 5 km of each runway point; the smaller id on a tie (to the millimetre)."""
     near = pairs_within(pieces(spark, folder), receivers(spark, folder), 5000.0, "point_id", "record_id", ("p_lat", "p_lon"))
@@ -332,7 +342,7 @@ QUERIES = {
     for q in (
         lden_top3, J28_pairs, P11_loud_enough, A2_total_level, A3_lden, A17_contributors, A20_rest_row, A22_whole_percents,
         T7_until_omitted, T6_by_direction, T8_sampled, T3_loudest, P22_second_loudest, A48_by_kind, D10_reception,
-        D11_absorption, A4_a_weighting, J13_nearest, J29_reach_classes, J42_neighbours, J14_copies, J23_unmatched,
+        D11_absorption, A4_a_weighting, A4_a_weighting_all, J13_nearest, J29_reach_classes, J42_neighbours, J14_copies, J23_unmatched,
         J25_highest, J20_inside, J20_inside_all, S30_area, S30_area_all, J7_squares, J7_squares_all, F_tiles, F_local_frame, F_wrap, J38_same_place, A47_horizon,
     )
 }

@@ -1,8 +1,12 @@
 """Queries over all rows and values, beside those whose SQL fixes a part: hand-made tables and brute force."""
 
+import math
+
 import pytest
 
+from sonolith.functions.levels import A_WEIGHT_DB
 from sonolith.plans import further, noise
+from tests.conftest import SMALL
 
 POINTS = [
     (1, "WEST", 179.98, -17.6), (2, "WEST", -179.99, -17.6), (3, "TURN", -174.6, 66.9), (4, "TURN", 185.43, 66.9), (5, "HOME", 10.0, 50.0), (6, "HOME", 10.1, 50.1),
@@ -42,3 +46,25 @@ def test_all_of_the_narrow_ones_as_before(spark, meridian):
     for name in ("S30_area", "J7_squares"):
         kept = {tuple(r) for r in getattr(noise, name)(spark, meridian).collect()}
         assert kept and kept <= {tuple(r) for r in getattr(noise, f"{name}_all")(spark, meridian).collect()}
+
+
+def test_all_values_of_a_vector(spark):
+    vectors = {r.vec_id: (r.label, [float(x) for x in r.embedding]) for r in spark.read.parquet(f"{SMALL}/embeddings.parquet").collect()}
+    assert {len(v) for _, v in vectors.values()} == {64}
+    runs, energies, levels = {}, {}, {}
+    for key, (label, values) in vectors.items():
+        n, run = 0, []
+        for x in values:
+            run = [*run, x]
+            if len(run) == 1 or max(run) - min(run) > 0.2:
+                n, run = n + 1, [x]
+        runs[key] = n
+        for i, x in enumerate(values):
+            at = (label, i // 8, i % 8)
+            energies[at] = energies.get(at, 0.0) + 10**x
+        for part in range(8):
+            band = values[8 * part : 8 * part + 8]
+            levels[key, part] = 10 * math.log10(sum(10 ** ((10 * x + 50 + w) / 10) for x, w in zip(band, A_WEIGHT_DB, strict=True)))
+    assert {r.vec_id: r.runs for r in further.W25_merged_states(spark, SMALL).collect()} == pytest.approx(runs)
+    assert {(r.label, r.period, r.band): r.energy for r in further.A1_bands_all(spark, SMALL).collect()} == pytest.approx(energies, abs=1e-3)
+    assert {(r.vec_id, r.part): r.level_dba for r in noise.A4_a_weighting_all(spark, SMALL).collect()} == pytest.approx(levels, abs=1e-3)
