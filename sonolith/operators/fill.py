@@ -14,7 +14,7 @@ larger task. Two middle values are averaged; a mode's tie goes to the smaller ca
 
 Known rows aren't shuffled for the fill: they are read once for the statistics, which are written to the shared folder
 (one row a group and level), and pass through. The distinct combinations of keys among the rows with gaps are resolved
-against the statistics of all levels, and the rows with gaps are joined with that small result once (AQE splits a hot
+against the statistics of all levels (a level whose finished value is null is passed over), and the rows with gaps are joined with that small result once (AQE splits a hot
 key there).
 
 Defined cases: null in a key column means that the row belongs to no group of the levels with that key (neither gives
@@ -100,6 +100,10 @@ def fill_from_groups(
     known_rows = df.where(is_known).select(*keys, *[grid[n].alias(f"__v_{n}") for n in names])
     statistics = materialize(_statistics(known_rows, levels, keys, names, kind), "fill")
     sizes = {r["__level"]: r["count"] for r in statistics.groupBy("__level").count().collect()}  # a row a level
+
+    def components(packed: str) -> dict[str, Column]:
+        return {n: F.col(f"{packed}.{n}") / F.lit(float(per_unit)) if numeric else F.col(f"{packed}.{n}") for n in names}
+
     gaps = df.where(~is_known)
     resolved = gaps.select(*keys).distinct()
     found = []
@@ -109,7 +113,7 @@ def fill_from_groups(
             *[F.col(k).alias(f"__k{i}_{k}") for k in level.keys], packed.alias(f"__l{i}")
         )
         s = s.hint("broadcast" if sizes.get(i, 0) <= BROADCAST_GROUPS else "merge")
-        found.append(f"__l{i}")
+        found.append(F.when(finish(components(f"__l{i}")).isNotNull(), F.col(f"__l{i}")))
         if level.keys:
             on = reduce(lambda a, b: a & b, [F.col(k) == F.col(f"__k{i}_{k}") for k in level.keys])
             resolved = resolved.join(s, on, "left").drop(*[f"__k{i}_{k}" for k in level.keys])
@@ -117,10 +121,9 @@ def fill_from_groups(
             resolved = resolved.join(s, F.lit(True), "left")
     resolved = resolved.select(*[F.col(k).alias(f"__r_{k}") for k in keys], F.coalesce(*found).alias("__fill"))
     on = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"__r_{k}")) for k in keys])
-    back = {n: F.col(f"__fill.{n}") / F.lit(float(per_unit)) if numeric else F.col(f"__fill.{n}") for n in names}
     filled = gaps.join(resolved, on, "left").select(
         *df.columns,
-        F.when(F.col("__fill").isNotNull(), finish(back)).alias(out),
+        F.when(F.col("__fill").isNotNull(), finish(components("__fill"))).alias(out),
         F.lit(True).alias(f"{out}_filled"),
         F.coalesce(F.col("__fill.level"), F.lit("none")).alias(f"{out}_level"),
         F.coalesce(F.col("__fill.support"), F.lit(0)).alias(f"{out}_support"),

@@ -64,3 +64,26 @@ def test_against_brute_force(spark, seed):
             if len(values) >= (1 if name == "all" else 2):
                 assert got[i][2:] == (name, len(values)) and abs(got[i][0] - statistics.median(values)) < 1e-6
                 break
+
+
+def test_level_without_a_finished_value_is_passed_over(spark):
+    """Medians of zero in every component give no shares: the next level fills, and the row is listed."""
+    one = [[1.0, 0.0, 0.0], [0.0, 1.0, 0.0], [0.0, 0.0, 1.0]]
+    rows = [(i, "x", one[i % 3]) for i in range(6)] + [(10 + i, "y", [0.5, 0.25, 0.25]) for i in range(9)]
+    rows += [(20, "x", None), (21, "y", None)]
+    df = spark.createDataFrame(rows, "id long, a string, v array<double>")
+
+    def finish(c):
+        total = c["p"] + c["q"] + c["r"]
+        return F.when(total > 0, F.array(*[c[n] / total for n in "pqr"]))
+
+    def run(df):
+        parts = {n: F.get("v", i) for i, n in enumerate("pqr")}
+        out = fill_from_groups(df, parts, F.col("v").isNotNull(), [Level("a", ("a",), 5), Level("all", (), 1)], "median", 1000, "out", finish)
+        return {r.id: (r.out, r.out_level, r.out_support) for r in filled_rows(out, "out").collect()}
+
+    got = run(df)
+    assert set(got) == {20, 21}
+    assert got[20][1:] == ("all", 15) and got[20][0] == pytest.approx([1 / 2, 1 / 4, 1 / 4])
+    assert got[21] == ([0.5, 0.25, 0.25], "a", 9)
+    assert run(df.where("a = 'x'")) == {20: (None, "none", 0)}
