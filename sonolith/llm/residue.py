@@ -7,14 +7,15 @@ by expectation-maximization: the trusted passages stay positive, the others get
 weight (the positive part damped by `damping`), round by round. Unfilled fields of all kinds are one word to the model,
 so that what surrounds them is learnt, and numbers are one word as well.
 
-Each passage is then scored with the model, and its posterior decides: only a passage of log odds zero or more can be
+Each passage is then scored with the model, and its posterior decides: only a passage of log odds above zero can be
 residue, also where its form is trusted (trusted passages are labels of the fit and nothing else). The patterns only
 reject afterwards: a passage that shows no field, mark of a missing value, trusted form or word of such messages needs a
 score above half of what the model can give at most (`sure_from`), as words that stood beside a trusted form by chance
 are learnt with it. A record is residue when one of its passages is.
 
-The model is fitted on the passages of at most `fit_documents` documents, drawn by a hash of their id (the documented
-bound; under it, all documents are used), and at most FIT_PASSAGES passages. Everything else covers every document:
+The model is fitted on the passages of about `fit_documents` documents at most, drawn by a hash of their id, and of these on
+about `fit_passages` passages at most, drawn by a hash of id and place once they are counted (the documented bounds; under
+them, all passages are used). Both draws are uniform and the same wherever the rows lie. Everything else covers every document:
 scoring is one pass where the texts lie, without a shuffle; the model is one array of 8 MB, whatever the corpus.
 
 Defined cases: null, empty and blank texts have no passage and are none; texts of any length are read whole; repeated
@@ -156,50 +157,60 @@ def score(found: set[int], odds: np.ndarray, prior: float) -> float:
 
 
 def sure_from(n: int, positive: int) -> float:
-    """Half of the log odds that MOST_WORDS features seen in positives only can reach with a fit on n passages."""
+    """Half of the log odds that MOST_WORDS features seen in positives only can reach with a fit on n passages; no less
+    than what a passage without any known word has."""
     if not positive or positive == n:
         return np.inf
     prior = float(np.log(positive / (n - positive)))
-    return MOST_WORDS / 2 * float(np.log(n * (n - positive) / (SMOOTH * positive))) + prior
+    return max(MOST_WORDS / 2 * float(np.log(n * (n - positive) / (SMOOTH * positive))) + prior, prior)
 
 
 def is_residue(passage: str, found: list[str], value: float, sure: float) -> bool:
     """Whether the posterior holds the passage to be residue and no pattern rejects it."""
-    if value < 0:
+    if value <= 0:
         return False
-    if value >= sure or any(w[0] == "¤" for w in found) or is_trusted(passage):
+    if value > sure or any(w[0] == "¤" for w in found) or is_trusted(passage):
         return True
     return _MESSAGE.search(" ".join(passage.lower().split())) is not None
 
 
-def _sample(df: DataFrame, key: str, text: str, fit_documents: int) -> pa.Table:
-    """Features and trust of the passages of at most about fit_documents documents."""
+def _sample(df: DataFrame, key: str, text: str, fit_documents: int, fit_passages: int) -> pa.Table:
+    """Features and trust of about fit_passages passages at most, of about fit_documents documents at most."""
     filled = df.where(F.length(F.trim(text)) > 0)
     count = filled.count()
     grain = 1 << 20
     kept = min(grain, int(grain * fit_documents / max(1, count)))
-    drawn = filled.where(F.pmod(F.xxhash64(key), F.lit(grain)) < kept).select(text)
+    drawn = filled.where(F.pmod(F.xxhash64(key), F.lit(grain)) < kept).select(F.col(key).cast("string"), text)
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([sum(len(passages(t)) for t in batch.column(1).to_pylist())], pa.int64())], names=["n"])
+
+    whole = drawn.mapInArrow(counted, "n long").agg(F.sum("n")).first()[0] or 0
+    share = min(1.0, fit_passages / max(1, whole))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         features = Features()
         for batch in batches:
             found, trusted = [], []
-            for t in batch.column(0).to_pylist():
-                for p in passages(t):
+            for k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                for i, p in enumerate(passages(t)):
+                    if share < 1 and crc32(f"{k} {i}".encode()) >= share * (1 << 32):
+                        continue
                     found.append(sorted(features.of(words(p))))
                     trusted.append(is_trusted(p))
             yield pa.RecordBatch.from_arrays(
                 [pa.array(found, pa.list_(pa.int32())), pa.array(trusted, pa.bool_())], names=["features", "trusted"]
             )
 
-    return drawn.mapInArrow(run, "features array<int>, trusted boolean").limit(FIT_PASSAGES).toArrow()
+    return drawn.mapInArrow(run, "features array<int>, trusted boolean").toArrow()
 
 
 def find_residue(
-    df: DataFrame, key: str = "doc_id", text: str = "text", fit_documents: int = FIT_DOCUMENTS
+    df: DataFrame, key: str = "doc_id", text: str = "text", fit_documents: int = FIT_DOCUMENTS, fit_passages: int = FIT_PASSAGES
 ) -> DataFrame:
     """(key, residue, score, passages): whether the text holds residue, its highest score, its number of passages."""
-    sample = _sample(df, key, text, fit_documents)
+    sample = _sample(df, key, text, fit_documents, fit_passages)
     lists = sample.column("features").combine_chunks()
     length = np.asarray(lists.value_lengths().fill_null(0))
     trusted = sample.column("trusted").to_numpy(zero_copy_only=False).astype(bool)

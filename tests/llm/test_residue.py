@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from sonolith.llm import residue
 from sonolith.llm.residue import Features, find_residue, fit, is_trusted, passages, score, words
@@ -85,4 +86,24 @@ def test_patterns_only_reject():
     assert not residue.is_residue("503 Service Unavailable", ["0", "service", "unavailable"], -0.1, 90.0)
     assert residue.is_residue("503 Service Unavailable", ["0", "service", "unavailable"], 0.1, 90.0)
     assert not residue.is_residue("A quiet road.", ["a", "quiet", "road"], 89.0, 90.0)
-    assert residue.is_residue("A quiet road.", ["a", "quiet", "road"], 90.0, 90.0)
+    assert residue.is_residue("A quiet road.", ["a", "quiet", "road"], 90.1, 90.0)
+
+
+def test_sample_of_passages_is_a_uniform_draw(spark):
+    rows = [(i, "\n".join(f"{'abcdefghij'[i % 10]}{'klmnopqrstuvwxyzabcd'[k]} road." for k in range(20))) for i in range(1000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+
+    def drawn(df):
+        return sorted(map(str, residue._sample(df, "doc_id", "text", 1000, 2000).column("features").to_pylist()))
+
+    got = drawn(df.coalesce(1))
+    assert 1700 < len(got) < 2300
+    assert got == drawn(df.orderBy(F.desc("doc_id")).repartition(7))
+    one = drawn(df.where("doc_id % 10 = 9").union(df.where("doc_id % 10 < 9")).coalesce(1))
+    assert got == one and len(set(got)) > 9
+    assert residue._sample(df, "doc_id", "text", 1000, 20000).num_rows == 20000
+
+
+def test_what_counts_as_sure_follows_the_sample():
+    assert residue.sure_from(155_275, 577) == pytest.approx(90, abs=0.1)
+    assert residue.sure_from(1500, 9) < residue.sure_from(15_000, 90) < residue.sure_from(150_000, 900)
