@@ -97,13 +97,18 @@ def W15_interleaved(spark: SparkSession, folder: str) -> DataFrame:
     return fixes(spark, folder).select("id", F.row_number().over(w).alias("place"))
 
 
-def W17_first_sign(spark: SparkSession, folder: str) -> DataFrame:
+def W17_first_sign_all(spark: SparkSession, folder: str, known: str = "true") -> DataFrame:
     """The first sign known on each day."""
-    f = fixes(spark, folder).where("id % 3 = 0").withColumn("day", F.to_date("ts").cast("string"))
+    f = fixes(spark, folder).where(known).withColumn("day", F.to_date("ts").cast("string"))
     first = F.min(F.struct("t", "id"))
     return f.groupBy("address", "day").agg(first.alias("f")).select("address", "day", (F.col("f.id") % 7).alias("sign"))
 
 
+def W17_first_sign(spark: SparkSession, folder: str) -> DataFrame:
+    """As its SQL has it: a sign is known of every third fix (see W17_first_sign_all)."""
+    return W17_first_sign_all(spark, folder, "id % 3 = 0")
+
+
 def W21_half_way(spark: SparkSession, folder: str) -> DataFrame:
     """The line of each order at which half of its quantity is reached."""
     w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")
@@ -355,12 +360,17 @@ def D12_curves(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "part").select("p_partkey", rounded(level, 3).alias("level_db"))
 
 
-def D17_passes(spark: SparkSession, folder: str) -> DataFrame:
-    """Share of half minutes with a pass, by piece of the smallest roads."""
-    d = table(spark, folder, "display").where("aadt_light < 2000")
+def D17_passes_all(spark: SparkSession, folder: str, pieces: str = "true") -> DataFrame:
+    """Share of half minutes with a pass, by piece; null where the traffic is."""
+    d = table(spark, folder, "display").where(pieces)
     return d.select("piece_id", rounded(share_with_pass(F.col("aadt_light") / 24, F.lit(30.0)), 5).alias("share"))
 
 
+def D17_passes(spark: SparkSession, folder: str) -> DataFrame:
+    """As its SQL has it: pieces of the smallest roads only (see D17_passes_all)."""
+    return D17_passes_all(spark, folder, "aadt_light < 2000")
+
+
 def W25_merged_states(spark: SparkSession, folder: str) -> DataFrame:
     """Consecutive values of each vector merged while they differ by at most 0.2: the number of runs."""
     runs = merged_runs(F.col("embedding"), 0.2)
@@ -386,10 +396,10 @@ QUERIES = {
     q.__name__: q
     for q in (
         A1_bands, A1_bands_all, A5_box_sums, A16_runs, A19_joined_rows, A29_movements, A38_states, A45_sampled_days, W4_last_slow, W10_three_in_a_row,
-        W15_interleaved, W17_first_sign, W21_half_way, W23_slope, W24_acceleration, W26_history, W27_nodes, T5_fastest,
+        W15_interleaved, W17_first_sign, W17_first_sign_all, W21_half_way, W23_slope, W24_acceleration, W26_history, W27_nodes, T5_fastest,
         T11_distinguishable, T13_classes, U7_merged_lists, J6_offsets, J9_bands, J11_fallback, J15_same_name, J27_removed,
         J36_country, J41_flagged, J43_witnesses, P13_tags, P20_safe_numbers, S13_checks, S27_registers, S29_shares, K11_lines,
-        J22_hosts, J22_hosts_all, J30_crossings, D12_curves, D17_passes, W25_merged_states, A49_class_merge, A54_blend,
+        J22_hosts, J22_hosts_all, J30_crossings, D12_curves, D17_passes, D17_passes_all, W25_merged_states, A49_class_merge, A54_blend,
     )
 }
 

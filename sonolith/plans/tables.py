@@ -257,13 +257,18 @@ def J34_metadata(spark: SparkSession, folder: str) -> DataFrame:
     return j.groupBy("c_nationkey").agg(F.count(F.lit(1)).alias("lines"), F.sum("l_quantity").alias("quantity"))
 
 
-def J35_lookup(spark: SparkSession, folder: str) -> DataFrame:
+def J35_lookup_all(spark: SparkSession, folder: str, known: str = "true") -> DataFrame:
     """A fixed lookup (nations to regions) with a default on a miss."""
-    n = table(spark, folder, "nation").where("n_nationkey % 4 <> 0").join(table(spark, folder, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    n = table(spark, folder, "nation").where(known).join(table(spark, folder, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
     s = table(spark, folder, "supplier").join(F.broadcast(n), F.col("s_nationkey") == F.col("n_nationkey"), "left")
     return s.select("s_suppkey", F.coalesce("r_name", F.lit("elsewhere")).alias("region"))
 
 
+def J35_lookup(spark: SparkSession, folder: str) -> DataFrame:
+    """As its SQL has it: every fourth nation is unknown (see J35_lookup_all)."""
+    return J35_lookup_all(spark, folder, "n_nationkey % 4 <> 0")
+
+
 def J37_fallbacks(spark: SparkSession, folder: str) -> DataFrame:
     """A price for each line: the part's own from January, else of its month, else of its supplier, else none."""
     l = _lines(spark, folder).withColumn("m", F.month("l_shipdate"))
@@ -275,14 +280,19 @@ def J37_fallbacks(spark: SparkSession, folder: str) -> DataFrame:
     return j.groupBy("m", source.alias("source")).agg(F.count(F.lit(1)).alias("lines"), rounded(F.sum(F.coalesce("a", "b", "c")), 2).alias("price"))
 
 
-def J40_drift(spark: SparkSession, folder: str) -> DataFrame:
+def J40_drift_all(spark: SparkSession, folder: str, lines: str = "true", orders: str = "true") -> DataFrame:
     """Orders against their lines, either of which may lack the other."""
-    sums = _lines(spark, folder).where("l_linenumber > 1").groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("n"))
-    j = _orders(spark, folder).where("o_orderkey % 5 <> 0").join(sums, F.col("o_orderkey") == F.col("l_orderkey"), "full")
+    sums = _lines(spark, folder).where(lines).groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("n"))
+    j = _orders(spark, folder).where(orders).join(sums, F.col("o_orderkey") == F.col("l_orderkey"), "full")
     kind = F.when(F.col("o_orderkey").isNull(), "lines only").when(F.col("l_orderkey").isNull(), "order only").otherwise("both")
     return j.groupBy(kind.alias("kind")).agg(F.count(F.lit(1)).alias("orders"))
 
 
+def J40_drift(spark: SparkSession, folder: str) -> DataFrame:
+    """As its SQL has it: without first lines and every fifth order (see J40_drift_all)."""
+    return J40_drift_all(spark, folder, "l_linenumber > 1", "o_orderkey % 5 <> 0")
+
+
 def K4_resume(spark: SparkSession, folder: str) -> DataFrame:
     """Days of orders that have no shipped line yet."""
     wanted = _orders(spark, folder).select(F.to_date("o_orderdate").cast("string").alias("day")).distinct()
@@ -304,8 +314,18 @@ def K10_content(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def S28_overlay_all(spark: SparkSession, folder: str) -> DataFrame:
+    """Lines shipped before 1995 are the old table, all others the new one: old rows of keys that the new table lacks, and
+    all rows of the new one."""
+    l, fresh = _lines(spark, folder), F.coalesce(F.year("l_shipdate") >= 1995, F.lit(True))
+    out = grouping.overlay(l.where(~fresh), l.where(fresh), ["l_orderkey"])
+    return out.groupBy((F.col("l_orderkey") % 6).alias("k")).agg(F.count(F.lit(1)).alias("n"), F.sum("l_quantity").alias("q"))
+
+
 def S28_overlay(spark: SparkSession, folder: str) -> DataFrame:
-    """Old rows of keys that the new table lacks, and all rows of the new one."""
+    """As its SQL has it, over keys that 2 or 3 divides (see S28_overlay_all).
+
+    Old rows of keys that the new table lacks, and all rows of the new one."""
     l = _lines(spark, folder).select("l_orderkey", "l_linenumber", "l_quantity")
     new = l.where("l_orderkey % 3 = 0").withColumn("l_quantity", F.col("l_quantity") + 1)
     out = grouping.overlay(l.where("l_orderkey % 2 = 0"), new, ["l_orderkey"])
@@ -440,8 +460,8 @@ def P17_masked(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def G1_components(spark: SparkSession, folder: str) -> DataFrame:
-    """Parts and suppliers connected by a large first line."""
-    edges = _lines(spark, folder).where("l_linenumber = 1 and l_quantity >= 46").select(
+    """Parts and suppliers connected by a line."""
+    edges = _lines(spark, folder).select(
         F.col("l_partkey").alias("a"), (F.col("l_suppkey") + 10_000_000).alias("b")
     )
     return graphs.components(edges)
@@ -464,8 +484,8 @@ QUERIES = {
         A6_average_day, A9_thresholds, A10_weighted_mean, A11_weighted_mode, A12_distinct_rows, A15_run_median, A18_two_pieces,
         A23_density, A24_box_sums, A27_monthly_rates, A28_deficits, A30_capped, A31_least_price, A33_pyramid, A34_combine,
         A34_p_norm, A35_mixture, A36_convolution, A37_exceeded, A39_quota, A40_error_report, A42_buckets, A43_catchment,
-        A44_local_ratio, A50_period_mean, A51_feathered, A52_bilinear, J34_metadata, J35_lookup, J37_fallbacks, J40_drift,
-        K4_resume, K9_merge, K10_content, S10_json, S19_partitions, S28_overlay, T1_total_order, T12_newest, U1_union,
+        A44_local_ratio, A50_period_mean, A51_feathered, A52_bilinear, J34_metadata, J35_lookup, J35_lookup_all, J37_fallbacks, J40_drift, J40_drift_all,
+        K4_resume, K9_merge, K10_content, S10_json, S19_partitions, S28_overlay, S28_overlay_all, T1_total_order, T12_newest, U1_union,
         U2_distinct, U3_subset, U4_difference, U5_intersection, U8_halo, F_codes, F_names, F_fnv, F_digits, D2_speed_cascade,
         D3_flows, D5_building_load, P7_guessed, P8_implausible, P17_masked, G1_components, G2_flow,
     )

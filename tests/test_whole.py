@@ -5,8 +5,8 @@ import math
 import pytest
 
 from sonolith.functions.levels import A_WEIGHT_DB
-from sonolith.plans import further, noise
-from tests.conftest import SMALL
+from sonolith.plans import further, noise, tables
+from tests.conftest import SMALL, rows_of
 
 POINTS = [
     (1, "WEST", 179.98, -17.6), (2, "WEST", -179.99, -17.6), (3, "TURN", -174.6, 66.9), (4, "TURN", 185.43, 66.9), (5, "HOME", 10.0, 50.0), (6, "HOME", 10.1, 50.1),
@@ -68,3 +68,26 @@ def test_all_values_of_a_vector(spark):
     assert {r.vec_id: r.runs for r in further.W25_merged_states(spark, SMALL).collect()} == pytest.approx(runs)
     assert {(r.label, r.period, r.band): r.energy for r in further.A1_bands_all(spark, SMALL).collect()} == pytest.approx(energies, abs=1e-3)
     assert {(r.vec_id, r.part): r.level_dba for r in noise.A4_a_weighting_all(spark, SMALL).collect()} == pytest.approx(levels, abs=1e-3)
+
+
+WHOLE = {
+    "J35_lookup_all": "select s_suppkey, coalesce(r_name, 'elsewhere') as region from supplier left join nation on s_nationkey = n_nationkey left join region on n_regionkey = r_regionkey",
+    "J40_drift_all": """select case when o_orderkey is null then 'lines only' when l_orderkey is null then 'order only' else 'both' end as kind, count(*) as orders
+        from orders full join (select distinct l_orderkey from lineitem) on o_orderkey = l_orderkey group by 1""",
+    "S28_overlay_all": """with l as (select l_orderkey as o, l_quantity as q, year(l_shipdate) >= 1995 as fresh from lineitem)
+        select o % 6 as k, count(*) as n, sum(q) as q from l where fresh or o not in (select o from l where fresh) group by 1""",
+    "W17_first_sign_all": """select user_id as address, cast(cast(ts as date) as varchar) as day,
+        arg_min(event_id, {'a': cast(floor(epoch(ts)) as bigint), 'b': event_id}) % 7 as sign from events group by 1, 2""",
+    "D17_passes_all": "select piece_id, floor((1 - exp(-aadt_light / 2880)) * 100000 + 0.5) / 100000 as share from display",
+}
+
+
+@pytest.mark.parametrize("name", list(WHOLE))
+def test_all_rows(spark, duck, name):
+    query = {**tables.QUERIES, **further.QUERIES}[name]
+    assert rows_of(query(spark, SMALL).toPandas()) == rows_of(duck.sql(WHOLE[name]).df())
+
+
+def test_components_of_all_lines(spark, duck):
+    nodes = duck.sql("select l_partkey from lineitem union select l_suppkey + 10000000 from lineitem").fetchall()
+    assert {(r.node,) for r in tables.G1_components(spark, SMALL).collect()} == set(nodes)
