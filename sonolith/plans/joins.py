@@ -59,7 +59,7 @@ def J8_cut(spark: SparkSession, folder: str) -> DataFrame:
     """Steps between neighbouring fixes (hours, kt) cut at the edges of squares of 24 h, with the piece's share."""
     w = Window.partitionBy("address").orderBy("t", "id")
     f = fixes(spark, folder).withColumn("a", F.lag("t").over(w) / 3600.0).withColumn("b", F.col("t") / 3600.0)
-    f = f.where("b > a and b - a < 240")
+    f = f.where("b > a")
     lo, hi = F.floor(F.col("a") / 24).cast("int"), F.floor(F.col("b") / 24).cast("int")
     f = f.withColumn("square", F.explode(F.sequence(lo, hi)))
     part = F.least(F.col("b"), (F.col("square") + 1) * 24.0) - F.greatest(F.col("a"), F.col("square") * 24.0)

@@ -1,11 +1,12 @@
 """Queries over all rows and values, beside those whose SQL fixes a part: hand-made tables and brute force."""
 
+import datetime
 import math
 
 import pytest
 
 from sonolith.functions.levels import A_WEIGHT_DB
-from sonolith.plans import further, noise, tables
+from sonolith.plans import further, joins, noise, tables
 from tests.conftest import SMALL, rows_of
 
 POINTS = [
@@ -91,3 +92,13 @@ def test_all_rows(spark, duck, name):
 def test_components_of_all_lines(spark, duck):
     nodes = duck.sql("select l_partkey from lineitem union select l_suppkey + 10000000 from lineitem").fetchall()
     assert {(r.node,) for r in tables.G1_components(spark, SMALL).collect()} == set(nodes)
+
+
+def test_long_steps_are_cut_too(spark, tmp_path):
+    start = datetime.datetime(2024, 1, 1)
+    events = [(i, start + datetime.timedelta(hours=h), 7, "view", 1.0, "{}") for i, h in ((1, 0), (2, 300))]
+    df = spark.createDataFrame(events, "event_id long, ts timestamp, user_id long, event_type string, value double, props string")
+    df.write.parquet(f"{tmp_path}/events.parquet")
+    got = joins.J8_cut(spark, str(tmp_path)).collect()
+    assert {r.id for r in got} == {2} and len(got) == 13
+    assert sum(r.share for r in got) == pytest.approx(1, abs=1e-4)
