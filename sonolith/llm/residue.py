@@ -1,33 +1,32 @@
 """Template residue, filler, error messages and script notices in texts: positive-unlabelled naive Bayes.
 
-A text is read in passages (lines and sentences, character references resolved). Some passages are trusted to be
-residue by their form alone: unfilled fields in marks that prose doesn't use, error pages and their JSON, noscript
-notices, stack traces, lorem ipsum. All others are unlabelled. `fit` learns a naive Bayes model of words and word pairs
-by expectation-maximization: the trusted passages stay positive, the others get the posterior of the last round as their
-weight (the positive part damped by `damping`), round by round. Unfilled fields of all kinds are one word to the model,
-so that what surrounds them is learnt, and numbers are one word as well.
-
-Each passage is then scored with the model, and its posterior decides: only a passage of log odds above zero can be
-residue, also where its form is trusted (trusted passages are labels of the fit and nothing else). The patterns only
-reject afterwards: a passage that shows no field, mark of a missing value, trusted form or word of such messages needs a
-score above half of what the model can give at most (`sure_from`), as words that stood beside a trusted form by chance
-are learnt with it. A record is residue when one of its passages is.
-
-The model is fitted on the passages of about `fit_documents` documents at most, drawn by a hash of their id, and of these on
-about `fit_passages` passages at most, drawn by a hash of id and place once they are counted (the documented bounds; under
-them, all passages are used). Both draws are uniform and the same wherever the rows lie. Everything else covers every document:
-scoring is one pass where the texts lie, without a shuffle; the model is one array of 8 MB, whatever the corpus.
-
-Defined cases: null, empty and blank texts have no passage and are none; texts of any length are read whole; repeated
-texts get the same answer; without a trusted passage in the sample there is no model and nothing is found; an empty
-table gives no rows; extra columns of any name don't come out.
+A text is read in passages (lines and sentences, character references resolved). A short seed of forms (`STARTS`, `HOLDS`: field
+marks that prose doesn't use, status lines and error pages, stack traces, well-known filler, script notices) makes some
+passages trusted positives; all others are unlabelled. `fit` learns a naive Bayes model of words and word pairs by
+expectation-maximization: trusted passages stay positive, the others get the posterior of the last round as their weight
+(the positive part damped by `damping`), round by round. Unfilled fields of all kinds are one word to the model, so that
+what surrounds them is learnt, and numbers are one word as well. What positives say of a feature is discounted by nearly
+one passage (`discount`), so that a word which stood beside a single trusted form by chance counts for nothing.
+
+The seed labels the fit and nothing else. Every passage, trusted or not, is scored by the model alone; a record's score
+is that of its best passage, and the record is residue when that posterior is above one half. No list accepts or rejects.
+
+The model is fitted on about `fit_documents` documents at most, drawn by a hash of their id, and of these on about
+`fit_passages` passages at most, drawn by a hash of id and place (the documented bounds; under them, all passages are
+used). Both draws are uniform and the same wherever the rows lie. Everything else covers every document: scoring is one
+pass where the texts lie, without a shuffle, on the tokens of a whole batch as arrays; the model is one array of 8 MB,
+whatever the corpus.
+
+Defined cases: null, empty and blank texts have no passage and are none (score null); texts of any length are read
+whole; repeated texts get the same answer; without a trusted passage in the sample there is no model and nothing is
+found; an empty table gives no rows; extra columns of any name don't come out.
 """
 
 from __future__ import annotations
 
 import html
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator, Sequence
 from zlib import crc32
 
 import numpy as np
@@ -40,99 +39,186 @@ SIZE = 1 << 21
 FIT_DOCUMENTS = 15_000
 FIT_PASSAGES = 300_000
 SMOOTH = 5.0
+DISCOUNT = 0.9
 MOST_WORDS = 12
+CHUNK = 1_000_000
 
-_SPLIT = re.compile(r"[\r\n]+|(?<=[.!?…])\s+|(?<=[.!?…]\))\s+|(?<=[^{]\})\s+(?=[A-ZÀ-Ž][a-zß-ž])")
 _FIELD = re.compile(
     r"\{\{.{1,40}?\}\}|\$\{[\w.]+\}|<%=? ?[\w.]+ ?%>|\{% ?[\w.]+ ?%\}|#\{[\w.]+\}|\[\[[\w.]+\]\]|%\([\w.]+\)s"
-    r"|@@[\w.]+@@|__[\w.]+?__|%[A-Z_.]{3,}%|\$[A-Z_.]{3,}\$|\[insert [\w. ]+ here\]|«[\w.]+»|\{[\w.]+\}"
+    r"|@@[\w.]+@@|__[\w.]+?__|%[A-Z_.]{3,}%|\$[A-Z_.]{3,}\$|\*{3}[\w.]+\*{3}|\[insert [\w. ]+ here\]|«[\w.]+»|\{[\w.]+\}"
     r"|\[[A-Z][A-Z_. ]+\]",
     re.IGNORECASE,
 )
-_MARKS = ((re.compile(r"<[a-z_.]+>"), " ¤tag "), (re.compile(r"\[object object\]"), " ¤object "), (re.compile(r"\?\?\?"), " ¤ask "), (re.compile(r"\d+"), "0"))
-_WORD = re.compile(r"¤?\w+|[{}<>\"“”„:|]")
-_DULL = {"0", "^", "$", "|", ":"}
-_TRUSTED = re.compile(
-    r"<%=? ?[\w.]+ ?%>|\{% ?[\w.]+ ?%\}|#\{[\w.]+\}|\[insert [\w. ]+ here\]|\[object object\]|«[a-z_.]+»"
-    r"|<noscript>|<html><head><title>|\{\"error\":"
-    r"|^traceback \(most|^\w*error: '|^warning: undefined|^(error )?[45]\d\d:? (?!rows)[^\W\d_]|^error \d+:"
-    r"|^\W*lorem ipsum|^(?:\w+ )*(?:dolor|ipsum) (?:\w+ )*(?:amet|elit|enim|nisi|magna)"
-    r"|^(?:dies ist ein blindtext|ici votre texte|texto de ejemplo|your headline here|test test test|asdf asdf"
-    r"|add a description|write the summary|coming soon: |hier steht später|replace this paragraph|blah blah|this is a sample page|sem vložte text|text goes here"
-    r"|sample caption|back soon|loading…|just a moment|oops!|nothing here|verify you are human)"
-    r"|^\W*(?:please |bitte |veuillez |zapněte |active |you need to |necesita |this app |diese anwendung |cette application "
-    r"|tato aplikace |la aplicación |esta aplicación )(?:\w+ ){0,3}javascript|^\W*(?:javascript|scripts|skripte|les scripts|skripty) "
-    r"(?:is|are|must|sind|sont|jsou) |^\W*(?:checking your browser|ihr browser|su navegador|votre navigateur|váš prohlížeč"
-    r"|your browser|comprobando su|vérification de|kontrolujeme|cookies must|this content is shown)"
-    r"|^(?:service unavailable|internal server error|bad gateway|gateway time-out|not found|forbidden|database error"
+_PERCENT = re.compile(r"%[(A-Z_.]", re.IGNORECASE)
+_MARKS = (
+    (re.compile(r"<[a-z_.]+>", re.IGNORECASE), " ¤tag "),
+    (re.compile(r"\[object object\]", re.IGNORECASE), " ¤object "),
+    (re.compile(r"\?\?\?"), " ¤ask "),
+)
+#: What ends a passage: the end of a line or of a sentence, or of an object before a sentence.
+_ENDS = re.compile(r"[\r\n]+|[.!?…]\)?(?=\s)")
+_OBJECT = re.compile(r"(?<=[^{]\})\s+(?=[A-ZÀ-Ž][a-zß-ž])")
+
+#: The seed by family: forms that start a passage, its white space collapsed, and forms that it holds anywhere.
+STARTS = {
+    "status": r"(?:error )?[45]\d\d:? (?:[^\W\d_]+ ){0,3}[^\W\d_]+$"
+    r"|(?:service unavailable|internal server error|bad gateway|gateway time-out|not found|forbidden|database error"
     r"|session expired|too many requests|unauthorized|seite nicht gefunden|nicht gefunden|interner fehler|erreur interne"
     r"|page introuvable|página no encontrada|servicio no disponible|error interno|chyba serveru|stránka nenalezena"
-    r"|wartung|zugriff verweigert|accès refusé|acceso denegado)\W*$",
-    re.IGNORECASE,
-)
-_MESSAGE = re.compile(
-    r"\bundefined\b|\bnull\b|\bnone\b|\bnan\b|\btbd\b|\bxxx+|lorem|ipsum|javascript|script|skript|browser|cookie"
-    r"|navegador|navigateur|prohlížeč|error|erreur|fehler|chyb|\b[45]\d\d:? [^\W\d_]|not found|nicht gefunden|nenalez"
-    r"|introuvable|no encontrad|unavailable|disponible|forbidden|gateway|denied|refused|verweigert|time-?out|traceback"
-    r"|warning|fetch failed|session|blindtext|votre texte|texto de|your text|headline|coming soon|back soon|test test"
-    r"|asdf|blah|goes here|vložte|sample|summary here|description of|oops|just a moment|loading|wartung|maintenance"
-    r"|mantenimiento|human|nothing here|connection|sqlstate|proxy|permission|berechtigung|\(ref [0-9a-f]{8}|servidor"
-    r"|serveur|serveru|server|upstream|requests|too many|expired"
-    r"|page you asked|that page|moved or been deleted|page demandée|página que busca|seite existiert|later|plus tard"
-    r"|más tarde|später|později|paragraph|neexistuje|sign in again|rate limit"
-)
+    r"|wartung|zugriff verweigert|accès refusé|acceso denegado|oops)\W*$",
+    "trace": r"traceback \(most|\w*error: '|warning: undefined|error \d+:",
+    "filler": r"\W*lorem ipsum|(?:\w+ ){0,12}(?:dolor|ipsum) (?:\w+ ){0,12}(?:amet|elit|enim|nisi|magna)"
+    r"|dies ist ein blindtext|ici votre texte|texto de ejemplo|your headline here|test test test|asdf asdf"
+    r"|add a description|write the summary|coming soon: |hier steht später|replace this paragraph|blah blah"
+    r"|this is a sample page|sem vložte text|text goes here|sample caption|back soon|loading…|nothing here",
+    "scripts": r"\W*(?:please |bitte |veuillez |zapněte |active |you need to |necesita |this app |diese anwendung "
+    r"|cette application |tato aplikace |la aplicación |esta aplicación )(?:\w+ ){0,3}javascript"
+    r"|\W*(?:javascript|scripts|skripte|les scripts|skripty) (?:is|are|must|sind|sont|jsou) "
+    r"|\W*(?:checking your browser|ihr browser|su navegador|votre navigateur|váš prohlížeč|your browser|comprobando su"
+    r"|vérification de|kontrolujeme|cookies must|this content is shown|just a moment|verify you are human)",
+}
+HOLDS = {
+    "field": r"<%=? ?[\w.]+ ?%>|\{% ?[\w.]+ ?%\}|#\{[\w.]+\}|\[insert [\w. ]+ here\]|\[object object\]|«[a-z_.]+»",
+    "status": r"<html><head><title>|\{\"error\":",
+    "scripts": r"<noscript>",
+}
+SEEDS = ("field", "status", "trace", "filler", "scripts")
+_STARTS = {f: re.compile(p, re.IGNORECASE) for f, p in STARTS.items()}
+_HOLDS = {f: re.compile(p, re.IGNORECASE) for f, p in HOLDS.items()}
+
+
+def _hash(word: str) -> int:
+    """What `tokenize` makes of a lower-case word."""
+    return int(tokenize([word])[0][1])
+
+
+class _Alphabet:
+    """What each character is: part of a word, a digit, a word by itself, the end of a line or sentence, white space."""
+
+    def __init__(self) -> None:
+        self.word = np.zeros(1 << 16, bool)
+        self.word[[i for i in range(1 << 16) if chr(i).isalnum()]] = True
+        self.word[[ord("_"), ord("¤")]] = True
+        self.digit = np.zeros(1 << 16, bool)
+        self.digit[[i for i in range(1 << 16) if chr(i).isdecimal()]] = True
+        self.space = np.zeros(1 << 16, bool)
+        self.space[[i for i in range(1 << 16) if chr(i).isspace()] + [0]] = True
+        self.single, self.stop, self.line = (np.zeros(1 << 16, bool) for _ in range(3))
+        self.single[[ord(c) for c in '{}<>"“”„:|']] = True
+        self.stop[[ord(c) for c in ".!?…"]] = True
+        self.line[[ord(c) for c in "\r\n\0"]] = True
+        self.powers, self.inverse = np.ones(1, np.uint64), np.ones(1, np.uint64)
+
+    def rolling(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """The first n powers of an odd base and of its inverse, modulo 2^64."""
+        while len(self.powers) < n:
+            base = pow(_BASE, len(self.powers), 1 << 64)
+            self.powers = np.concatenate([self.powers, self.powers * np.uint64(base)])
+            self.inverse = np.concatenate([self.inverse, self.inverse * np.uint64(pow(base, -1, 1 << 64))])
+        return self.powers[:n], self.inverse[:n]
+
+
+_BASE = 0x9E3779B97F4A7C15
+_alphabet: list[_Alphabet] = []
+
+
+def alphabet() -> _Alphabet:
+    if not _alphabet:
+        _alphabet.append(_Alphabet())
+    return _alphabet[0]
+
+
+def marked(text: str) -> str:
+    """The text with a word for each field and mark."""
+    if "{" in text or "<" in text or "[" in text or "«" in text or "$" in text or "@@" in text or "__" in text or "***" in text or "???" in text or ("%" in text and _PERCENT.search(text)):
+        text = _FIELD.sub(" ¤field ", text)
+        for mark, name in _MARKS:
+            text = mark.sub(name, text)
+    return text
+
+
+def plain(text: str | None) -> str:
+    """The text with character references resolved, one line for each object before a sentence."""
+    text = "" if not text else html.unescape(text) if "&" in text else text
+    text = text.replace("\0", " ") if "\0" in text else text
+    return _OBJECT.sub("\n", text) if "}" in text else text
 
 
 def passages(text: str | None) -> list[str]:
     """The passages of a text that hold anything."""
-    return [p for p in _SPLIT.split(html.unescape(text)) if p and not p.isspace()] if text else []
-
-
-def words(passage: str) -> list[str]:
-    """Lower-case words; fields and numbers stand for their kind."""
-    plain = _FIELD.sub(" ¤field ", passage).lower() if any(c in passage for c in "{<[«%$@_") else passage.lower()
-    for mark, name in _MARKS:
-        plain = mark.sub(name, plain)
-    return _WORD.findall(plain)
-
-
-class Features:
-    """Hashed words and pairs of neighbouring words of a passage, each once."""
-
-    def __init__(self, cache: int = 1_000_000):
-        self.known: dict[str, int] = {}
-        self.cache = cache
-
-    def of(self, found: list[str]) -> set[int]:
-        known, out = self.known, set()
-        if len(known) > self.cache:
-            known.clear()
-        last = "^"
-        for word in [*found, "$"]:
-            pair = (word,) if word not in ("0", "$") else ()
-            for f in (*pair, f"{last} {word}") if not (last in _DULL and word in _DULL) else pair:
-                if (index := known.get(f)) is None:
-                    index = known[f] = crc32(f.encode("utf-8", "replace")) % SIZE
-                out.add(index)
-            last = word
-        return out
-
-
-def is_trusted(passage: str) -> bool:
-    return len(passage) <= 200 and _TRUSTED.search(" ".join(passage.split())) is not None
+    whole, out, at = plain(text), [], 0
+    for end in _ENDS.finditer(whole):
+        out.append(whole[at : end.end()].strip())
+        at = end.end()
+    return [p for p in [*out, whole[at:].strip()] if p]
+
+
+def tokenize(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The words of all texts as numbers (a hash of the lower-case word, any run of digits as one 0), 0 at the end of
+    each passage and before the first one; and the number of passages of each text. The whole batch is cut and hashed
+    as arrays: a word's hash is the difference of two sums of a rolling hash."""
+    a = alphabet()
+    joined = "\0".join(map(str.lower, texts)) + "\0"
+    c = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
+    c = np.where(c < 1 << 16, c, 0xFFFF).astype(np.uint16)
+    digit = a.digit[c]
+    c = np.where(digit, np.uint16(ord("0")), c)
+    c = c[np.concatenate([[True], ~(digit[1:] & digit[:-1])])]
+    word, line = a.word[c], a.line[c]
+    follows = np.concatenate([a.space[c[1:]], [True]])
+    stop = a.stop[c]
+    end = line | (stop & follows) | (stop & np.concatenate([(c[1:] == ord(")")) & follows[1:], [False]]))
+    start = word & ~np.concatenate([[False], word[:-1]])
+    at = np.flatnonzero(start | a.single[c] | end)
+    powers, inverse = a.rolling(len(c) + 1)
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((c.astype(np.uint64) + np.uint64(1)) * powers[:-1])])
+    close = np.flatnonzero(word & ~np.concatenate([word[1:], [False]])) + 1
+    until = at + 1
+    until[start[at]] = close
+    value = (sums[until] - sums[at]) * inverse[at]
+    value ^= value >> np.uint64(29)
+    tokens = (value * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(33)).astype(np.int64) + 1
+    ends = end[at]
+    tokens[ends] = 0
+    last = np.flatnonzero(c[at] == 0)
+    return np.concatenate([[0], tokens]), np.diff(np.concatenate([[0], np.cumsum(ends)[last]]))
+
+
+_NUMBER = _hash("0")
+_DULL = np.array([0, _NUMBER, _hash("|"), _hash(":")])
+
+
+def features(tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(passage, feature) of every word and pair of neighbouring words. tokens: those of passages one after the other, a
+    0 before, between and behind them. Pairs of passage ends, numbers and separators are left out."""
+    end = tokens == 0
+    at = np.cumsum(end) - 1
+    one = ~end & (tokens != _NUMBER)
+    dull = end | (tokens == _DULL[1]) | (tokens == _DULL[2]) | (tokens == _DULL[3])
+    two = ~(dull[:-1] & dull[1:])
+    pair = (tokens[:-1] * 1_000_003 ^ (tokens[1:] * 7_919 + 12_345)) % SIZE
+    owner = np.where(end[1:], at[:-1], at[1:])
+    return np.concatenate([at[one], owner[two]]), np.concatenate([tokens[one] % SIZE, pair[two]])
+
+
+def is_trusted(passage: str, seeds: Sequence[str] = SEEDS) -> bool:
+    """Whether the passage has a form of one of the families."""
+    p = " ".join(passage.split())
+    return any(_STARTS[f].match(p) for f in seeds if f in _STARTS) or (
+        any(c in p for c in "{<[«") and any(_HOLDS[f].search(p) for f in seeds if f in _HOLDS)
+    )
 
 
 def fit(
-    rows: np.ndarray, columns: np.ndarray, trusted: np.ndarray, rounds: int = 4, damping: float = 0.5
+    rows: np.ndarray, columns: np.ndarray, trusted: np.ndarray, rounds: int = 4, damping: float = 0.5, discount: float = DISCOUNT
 ) -> tuple[np.ndarray, float]:
     """Log odds of each feature, and of a passage before its words are seen. rows, columns: the features that the
-    passages have, by rising row; trusted: of each passage."""
+    passages have; trusted: of each passage."""
     n, positive = len(trusted), int(trusted.sum())
     if not positive or positive == n:
         return np.zeros(SIZE, np.float32), -np.inf
     often = (np.bincount(columns, minlength=SIZE) >= 3) | (np.bincount(columns[trusted[rows]], minlength=SIZE) > 0)
     rows, columns = rows[often[columns]], columns[often[columns]]
-    length = np.bincount(rows, minlength=n)
     prior = float(np.log(positive / (n - positive)))
     weight = trusted.astype(float)
     # Both parts are smoothed towards the whole corpus: a feature that the positives lack speaks against them, however
@@ -140,70 +226,115 @@ def fit(
     usual = (np.bincount(columns, minlength=SIZE) + 0.01) / n
     for _ in range(rounds + 1):
         share = np.where(trusted, 1.0, damping * weight)
-        yes = (np.bincount(columns, share[rows], SIZE) + SMOOTH * usual) / (share.sum() + SMOOTH)
-        no = (np.bincount(columns, (1 - weight)[rows], SIZE) + SMOOTH * usual) / ((1 - weight).sum() + SMOOTH)
-        odds = np.log(yes) - np.log(no)
+        seen = np.maximum(np.bincount(columns, share[rows], SIZE) - discount, 0)
+        yes = (seen + SMOOTH * usual) / (share.sum() + SMOOTH)
+        no = (np.bincount(columns, (1 - weight)[rows], SIZE) + SMOOTH * usual + 0.3) / ((1 - weight).sum() + SMOOTH + 0.3)
+        odds = (np.log(yes) - np.log(no)).astype(np.float32)
         odds[~often] = 0.0
-        score = np.bincount(rows, odds[columns], n) / np.maximum(1, length) * np.minimum(length, MOST_WORDS) + prior
-        weight = np.where(trusted, 1.0, 1 / (1 + np.exp(-np.clip(score, -30, 30))))
-    return odds.astype(np.float32), prior
-
-
-def score(found: set[int], odds: np.ndarray, prior: float) -> float:
-    """Mean log odds of a passage's known features, counted as MOST_WORDS of them at most."""
-    values = odds[list(found)]
-    values = values[values != 0]
-    return float(values.mean()) * min(len(values), MOST_WORDS) + prior if len(values) else prior
-
-
-def sure_from(n: int, positive: int) -> float:
-    """Half of the log odds that MOST_WORDS features seen in positives only can reach with a fit on n passages; no less
-    than what a passage without any known word has."""
-    if not positive or positive == n:
-        return np.inf
-    prior = float(np.log(positive / (n - positive)))
-    return max(MOST_WORDS / 2 * float(np.log(n * (n - positive) / (SMOOTH * positive))) + prior, prior)
-
-
-def is_residue(passage: str, found: list[str], value: float, sure: float) -> bool:
-    """Whether the posterior holds the passage to be residue and no pattern rejects it."""
-    if value <= 0:
-        return False
-    if value > sure or any(w[0] == "¤" for w in found) or is_trusted(passage):
-        return True
-    return _MESSAGE.search(" ".join(passage.lower().split())) is not None
+        value, _ = scores(rows, columns, n, odds, prior)
+        weight = np.where(trusted, 1.0, 1 / (1 + np.exp(-np.clip(value, -30, 30))))
+    return odds, prior
+
+
+def scores(rows: np.ndarray, columns: np.ndarray, n: int, odds: np.ndarray, prior: float) -> tuple[np.ndarray, np.ndarray]:
+    """Of n passages: the mean log odds of their known features, counted as MOST_WORDS of them at most; and whether they
+    have any feature."""
+    value = odds[columns].astype(float)
+    known = value != 0
+    length = np.bincount(rows[known], minlength=n)
+    mean = np.bincount(rows[known], value[known], n) / np.maximum(1, length)
+    return mean * np.minimum(length, MOST_WORDS) + prior, np.bincount(rows, minlength=n) > 0
+
+
+def _parts(text: str) -> Iterator[str]:
+    """A text in parts of CHUNK characters at most, cut at line ends where there are any."""
+    at = 0
+    while len(text) - at > CHUNK:
+        cut = text.rfind("\n", at, at + CHUNK) + 1
+        cut = cut if cut > at else at + CHUNK
+        yield text[at:cut]
+        at = cut
+    yield text[at:] if at else text
+
+
+def best_scores(texts: Iterable[str | None], odds: np.ndarray, prior: float) -> tuple[np.ndarray, np.ndarray]:
+    """Of each text: the score of its best passage (nan without one) and the number of its passages with a word."""
+    best: list[np.ndarray] = [np.empty(0)]
+    counts: list[np.ndarray] = [np.empty(0, np.int64)]
+    owner: list[int] = []
+    parts: list[str] = []
+    n = size = 0
+
+    def flush() -> None:
+        if parts:
+            tokens, held = tokenize(parts)
+            value, real = scores(*features(tokens), int(held.sum()) + 1, odds, prior)
+            value, real = np.where(real, value, -np.inf)[:-1], real[:-1].astype(np.int64)
+            first = np.cumsum(held) - held
+            best.append(np.maximum.reduceat(value, first))
+            counts.append(np.add.reduceat(real, first))
+        parts.clear()
+
+    for text in texts:
+        for part in _parts(plain(text)):
+            owner.append(n)
+            parts.append(marked(part))
+            size += len(part)
+            if size > CHUNK:
+                flush()
+                size = 0
+        n += 1
+    flush()
+    top, held = np.full(n, -np.inf), np.zeros(n, np.int64)
+    np.maximum.at(top, owner, np.concatenate(best))
+    np.add.at(held, owner, np.concatenate(counts))
+    return np.where(held > 0, top, np.nan), held
 
 
 def _sample(df: DataFrame, key: str, text: str, fit_documents: int, fit_passages: int) -> pa.Table:
     """Features and trust of about fit_passages passages at most, of about fit_documents documents at most."""
     filled = df.where(F.length(F.trim(text)) > 0)
-    count = filled.count()
     grain = 1 << 20
+    place = F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(grain))
+    count = filled.count()
     kept = min(grain, int(grain * fit_documents / max(1, count)))
-    drawn = filled.where(F.pmod(F.xxhash64(key), F.lit(grain)) < kept).select(F.col(key).cast("string"), text)
-
-    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([sum(len(passages(t)) for t in batch.column(1).to_pylist())], pa.int64())], names=["n"])
-
-    whole = drawn.mapInArrow(counted, "n long").agg(F.sum("n")).first()[0] or 0
+    drawn = filled.where(place < kept).select(F.col(key).cast("string"), text)
+    ends = F.regexp_count(text, F.lit(r"[\r\n]+|[.!?…](?=[^\S\r\n])")) + 1
+    whole = drawn.agg(F.sum(ends.cast("long"))).first()[0] or 0
     share = min(1.0, fit_passages / max(1, whole))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        features = Features()
         for batch in batches:
-            found, trusted = [], []
+            drawn, kinds = [], []
             for k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 for i, p in enumerate(passages(t)):
-                    if share < 1 and crc32(f"{k} {i}".encode()) >= share * (1 << 32):
-                        continue
-                    found.append(sorted(features.of(words(p))))
-                    trusted.append(is_trusted(p))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(found, pa.list_(pa.int32())), pa.array(trusted, pa.bool_())], names=["features", "trusted"]
-            )
+                    if share == 1 or crc32(f"{k} {i}".encode()) < share * (1 << 32):
+                        drawn.append(p)
+                        kinds.append(is_trusted(p))
+            if drawn:
+                yield pa.RecordBatch.from_arrays([_lists(drawn), pa.array(kinds, pa.bool_())], names=["words", "trusted"])
+
+    return drawn.mapInArrow(run, "words array<int>, trusted boolean").toArrow()
+
+
+def _lists(passages: list[str]) -> pa.ListArray:
+    """The numbers of each passage's words."""
+    tokens, held = tokenize([marked(p) for p in passages])
+    owner = np.repeat(np.arange(len(passages)), held)[np.cumsum(tokens[1:] == 0) - (tokens[1:] == 0)]
+    real = tokens[1:] > 0
+    starts = np.concatenate([[0], np.cumsum(np.bincount(owner[real], minlength=len(passages)))])
+    return pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.array(tokens[1:][real], pa.int32()))
+
 
-    return drawn.mapInArrow(run, "features array<int>, trusted boolean").toArrow()
+def learn(words: pa.ListArray, trusted: np.ndarray) -> tuple[np.ndarray, float]:
+    """The model of drawn passages, given by the numbers of their words."""
+    length = np.asarray(words.value_lengths().fill_null(0)).astype(np.int64)
+    tokens = np.zeros(int(length.sum()) + len(length) + 1, np.int64)
+    own = np.ones(len(tokens), bool)
+    own[0] = False
+    own[np.cumsum(length + 1)] = False
+    tokens[own] = np.asarray(words.flatten())
+    return fit(*features(tokens), trusted)
 
 
 def find_residue(
@@ -211,13 +342,8 @@ def find_residue(
 ) -> DataFrame:
     """(key, residue, score, passages): whether the text holds residue, its highest score, its number of passages."""
     sample = _sample(df, key, text, fit_documents, fit_passages)
-    lists = sample.column("features").combine_chunks()
-    length = np.asarray(lists.value_lengths().fill_null(0))
     trusted = sample.column("trusted").to_numpy(zero_copy_only=False).astype(bool)
-    flat = np.asarray(lists.flatten())
-    odds, prior = fit(np.repeat(np.arange(len(length)), length), flat, trusted)
-    sure = sure_from(len(trusted), int(trusted.sum()))
-    model = df.sparkSession.sparkContext.broadcast((odds, prior))
+    model = df.sparkSession.sparkContext.broadcast(learn(sample.column("words").combine_chunks(), trusted))
     kind = df.schema[key]
     schema = T.StructType(
         [kind, T.StructField("residue", T.BooleanType()), T.StructField("score", T.DoubleType()), T.StructField("passages", T.LongType())]
@@ -225,21 +351,10 @@ def find_residue(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         odds, prior = model.value
-        features = Features()
         for batch in batches:
-            flags, scores, counts = [], [], []
-            for t in batch.column(1).to_pylist():
-                best, residue, n = None, False, 0
-                for n, p in enumerate(passages(t), 1):  # noqa: B007
-                    found = words(p)
-                    value = score(features.of(found), odds, prior)
-                    best = value if best is None or value > best else best
-                    residue = residue or is_residue(p, found, value, sure)
-                flags.append(residue)
-                scores.append(best)
-                counts.append(n)
+            value, counts = best_scores(batch.column(1).to_pylist(), odds, prior)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(flags, pa.bool_()), pa.array(scores, pa.float64()), pa.array(counts, pa.int64())],
+                [batch.column(0), pa.array(value > 0), pa.array(value, pa.float64(), from_pandas=True), pa.array(counts, pa.int64())],
                 names=[key, "residue", "score", "passages"],
             )
 
