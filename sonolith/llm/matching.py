@@ -2,18 +2,19 @@
 
 The first source's records are grouped into entities by their own key (a record without one is an entity of its own),
 with the middle position and the median of each number. Units of the second source are then joined with the entities by
-one rule after the other, from strong to weak combinations of attributes: every rule is an exact join on the cell of the
-position and on the classes of the attributes that it names, with an exact test of the distances behind it. The nearest
-entity of a rule resolves a unit; resolved units are taken out by an anti-join before the next rule, and no rule accepts
-a pair that contradicts itself in an attribute that both sides know. At last every record of the entity, and of the
-unkeyed entities at the same spot, forms a pair with the unit.
+successive exact joins, from strong to weak combinations of attributes: first on the cell of the position and the farm,
+then on the cell alone, then on the cells within a wider radius; the tests of distance, power and hub height stand behind
+the keys. What a join resolves is taken out by an anti-join before the next one. Rules that join on the same keys share
+one join, in which a unit takes the first rule that gives it an entity, and the nearest entity of that rule: the same as
+a pass each. No rule accepts a pair that contradicts itself in an attribute that both sides know. A last rule,
+`same_spot`, pairs a unit with the other entities at its entity's spot (records of one turbine under no key or another).
 
 Confidence: each rule's precision on labelled pairs, (right + 2 * 0.9) / (labelled + 2). Labels are given as a table, or
-taken from an attribute that no rule uses (the maker), which says of many pairs whether they agree.
+taken from the maker: of pairs that were accepted without asking for it, whether it agrees.
 
-Scale: records of one entity are aggregated map-side before they meet the units, however many there are; classes and
-cells keep every join an equi-join; each pass is written to the shared folder, so that a pass reads the one before it and
-recomputes nothing. Nothing is collected but the rules' counts of labels (a row a rule).
+Scale: records of one entity are aggregated map-side before they meet the units, however many there are; cells keep every
+join an equi-join. Entities, the units left and the matches of each join are written to the shared folder, so that a join
+reads the one before it and recomputes nothing. Nothing is collected.
 
 Defined cases: a record or unit without a usable position (null, not finite, outside the globe, 0 and 0) is in no pair;
 unknown numbers (null, not finite, out of range) agree with nothing and contradict nothing; capacities of 20 and more are
@@ -23,8 +24,10 @@ all come out; empty tables give no rows.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import reduce
+from itertools import groupby
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -36,7 +39,6 @@ CELL = 0.00225
 SAME_SPOT_M = 100.0
 LONE_M = 60.0
 NEAR_M, FAR_M = 150.0, 255.0
-POWER_CLASS, HUB_CLASS = 1.2, 6.0
 
 
 @dataclass(frozen=True)
@@ -121,66 +123,53 @@ def _informed(entities: DataFrame) -> DataFrame:
     )
 
 
-def _power_class(power: Column) -> Column:
-    return F.floor(F.log(power) / F.log(F.lit(POWER_CLASS))).cast("int")
-
-
-def _hub_class(hub: Column) -> Column:
-    return F.floor(hub / HUB_CLASS).cast("int")
-
-
 def _same_power() -> Column:
-    return (F.col("e_power") / F.col("u_power")).between(0.88, 1.195)
+    """Within a fifth: registers round, and give the power of the machine or of its contract."""
+    return (F.col("e_power") / F.col("u_power")).between(1 / 1.2, 1.2)
 
 
 def _same_hub() -> Column:
     return F.abs(F.col("e_hub") - F.col("u_hub")) <= 5.0
 
 
-def _contradicts() -> Column:
-    """Both know the power and it differs, or both know the hub and it differs, while neither the power is exactly equal
-    nor the maker the same."""
-    power_off = F.coalesce(~_same_power(), F.lit(False))
+def _odd_hub() -> Column:
+    """Both know the hub and it differs, and the power isn't exactly equal."""
     exact = F.coalesce(F.abs(F.col("e_power") / F.col("u_power") - 1) <= 0.07, F.lit(False))
-    hub_off = F.coalesce(~_same_hub(), F.lit(False))
-    maker = F.coalesce(F.col("e_maker") == F.col("u_maker"), F.lit(False))
-    return power_off | (hub_off & ~exact & ~maker) | F.col("u_gone")
+    return F.coalesce(~_same_hub(), F.lit(False)) & ~exact
 
 
-_MATCHED = ("e_key", "e_lat", "e_lon", "e_maker", "u_maker", "u_hub", "u_power", "u_gone")
+def _contradicts() -> Column:
+    """Both know the power and it differs, or the hub is odd and the maker not the same."""
+    maker = F.coalesce(F.col("e_maker") == F.col("u_maker"), F.lit(False))
+    return F.coalesce(~_same_power(), F.lit(False)) | (_odd_hub() & ~maker) | F.col("u_gone")
 
 
-def _around(key: Column) -> Column:
-    return F.array(key - 1, key, key + 1)
+def _same_maker() -> Column:
+    """Whether the makers agree, of pairs that no test has asked for the maker; null where one is unknown."""
+    return F.when(~_odd_hub(), F.col("e_maker") == F.col("u_maker"))
 
 
-def _pass(units: DataFrame, entities: DataFrame, rule: Rule) -> DataFrame:
-    """The nearest entity that the rule gives each unit."""
-    radius = F.lit(rule.radius_m) + F.col("u_slack")
+def _pass(units: DataFrame, entities: DataFrame, rules: Sequence[tuple[int, Rule]]) -> DataFrame:
+    """One join of the cascade: the first of its rules that gives a unit an entity, and the nearest entity it gives. The
+    rules join on the same keys and differ in their tests, so that a unit's first rule is a minimum."""
+    radius = F.lit(rules[0][1].radius_m) + F.col("u_slack")
     left = units.withColumn("cell", F.explode(cells_within(F.col("u_lat"), F.col("u_lon"), CELL, radius)))
     right = entities.withColumn("cell", cell_of(F.col("e_lat"), F.col("e_lon"), CELL))
     on = ["cell"]
-    for attribute, classes in (("power", _power_class), ("hub", _hub_class)):
-        if attribute in rule.attributes:
-            name = f"{attribute}_class"
-            left = left.withColumn(name, F.explode(_around(classes(F.col(f"u_{attribute}")))))
-            right = right.withColumn(name, classes(F.col(f"e_{attribute}")))
-            on.append(name)
-    if "farm" in rule.attributes:
+    if "farm" in rules[0][1].attributes:
         left, right = left.withColumn("farm_key", F.col("u_farm")), right.withColumn("farm_key", F.col("e_farm"))
         on.append("farm_key")
-    tests = [_same_power()] * ("power" in rule.attributes) + [_same_hub()] * ("hub" in rule.attributes)
     away = distance_m(F.col("u_lat"), F.col("u_lon"), F.col("e_lat"), F.col("e_lon"))
     # The copied side looks small to the planner, which knows only its file: no broadcast of it.
-    pairs = left.hint("merge").join(right, on).withColumn("m", away)
-    good = reduce(lambda a, b: a & b, tests, (F.col("m") <= radius) & ~_contradicts())
-    best = F.min(F.struct("m", "e_key", "e_lat", "e_lon", "e_maker", "u_maker", "u_hub", "u_power", "u_gone")).alias("b")
-    return (
-        pairs.where(good)
-        .groupBy("unit_id")
-        .agg(best)
-        .select("unit_id", F.lit(rule.name).alias("rule"), *[f"b.{c}" for c in _MATCHED])
-    )
+    pairs = left.hint("merge").join(right, on).withColumn("m", away).where((F.col("m") <= radius) & ~_contradicts())
+    agrees = {"power": F.coalesce(_same_power(), F.lit(False)), "hub": F.coalesce(_same_hub(), F.lit(False)), "farm": F.lit(True)}
+    place = F.coalesce(*[F.when(reduce(lambda a, b: a & agrees[b], rule.attributes, F.lit(True)), i) for i, rule in rules])
+    best = F.min(F.struct(place.alias("place"), "m", "e_key", *[c for c in _MATCHED if c != "e_key"])).alias("b")
+    found = pairs.where(place.isNotNull()).groupBy("unit_id").agg(best)
+    return found.select("unit_id", "b.place", *[f"b.{c}" for c in _MATCHED])
+
+
+_MATCHED = ("e_key", "e_lat", "e_lon", "u_maker", "u_hub", "u_power", "u_gone")
 
 
 def match(
@@ -215,35 +204,37 @@ def match(
     )
     entities = materialize(_informed(materialize(_entities(own), "entities")), "entities")
     left, resolved = materialize(other, "units"), None
-    for rule in rules:
-        now = materialize(_pass(left, entities, rule), "matches")
-        left = left.join(now.select("unit_id"), "unit_id", "left_anti")
+    joins = [list(g) for _, g in groupby(enumerate(rules), lambda x: (x[1].radius_m, "farm" in x[1].attributes))]
+    for i, joined in enumerate(joins):
+        now = materialize(_pass(left, entities, joined), "matches")
         resolved = now if resolved is None else resolved.unionByName(now)
-    precision = _precision(resolved, own, labelled, rules)
+        if i + 1 < len(joins):
+            left = materialize(left.join(now.select("unit_id"), "unit_id", "left_anti"), "units")
+    # Each unit with the entity it found, and by a rule of its own with the unkeyed (or differently keyed) ones at the spot.
     near = F.explode(cells_within(F.col("e_lat"), F.col("e_lon"), CELL, SAME_SPOT_M))
-    own_columns = ["unit_id", "rule", "u_maker", "u_hub", "u_power", "u_gone"]
-    at = resolved.select(*own_columns, F.col("e_lat").alias("b_lat"), F.col("e_lon").alias("b_lon"), near.alias("cell"))
+    at = resolved.select("unit_id", "place", F.col("e_key").alias("b_key"), F.col("e_lat").alias("b_lat"), F.col("e_lon").alias("b_lon"),
+        "u_maker", "u_hub", "u_power", "u_gone", near.alias("cell"))
     spots = entities.withColumn("cell", cell_of(F.col("e_lat"), F.col("e_lon"), CELL))
     away = distance_m(F.col("b_lat"), F.col("b_lon"), F.col("e_lat"), F.col("e_lon"))
-    # Each unit with the entity it found and the unkeyed (or differently keyed) ones at the same spot.
-    beside = at.hint("merge").join(spots, "cell").where((away <= SAME_SPOT_M) & ~_contradicts())
-    same = beside.select("unit_id", "rule", F.col("e_key").alias("key")).distinct()
-    pairs = own.select("record_id", "key").join(same, "key")
-    return pairs.join(F.broadcast(precision), "rule", "left").select("record_id", "unit_id", "rule", "confidence")
+    met = at.hint("merge").join(spots, "cell").where((away <= SAME_SPOT_M) & ~_contradicts())
+    same = F.col("e_key") == F.col("b_key")
+    matched = materialize(
+        met.select("unit_id", F.when(same, F.col("place")).otherwise(len(rules)).alias("place"), F.col("e_key").alias("key"), _same_maker().alias("same")),
+        "matched",
+    )
+    precision = _precision(matched, own, labelled, rules)
+    pairs = own.select("record_id", "key").join(matched.select("unit_id", "place", "key"), "key")
+    return pairs.join(F.broadcast(precision), "place", "left").select("record_id", "unit_id", "rule", "confidence")
 
 
-def _precision(resolved: DataFrame, own: DataFrame, labelled: DataFrame | None, rules: tuple[Rule, ...]) -> DataFrame:
-    """(rule, confidence) of every rule."""
+def _precision(matched: DataFrame, own: DataFrame, labelled: DataFrame | None, rules: tuple[Rule, ...]) -> DataFrame:
+    """(place, rule, confidence) of every rule."""
     if labelled is None:
-        said = resolved.where(F.col("e_maker").isNotNull() & F.col("u_maker").isNotNull())
-        counted = said.groupBy("rule").agg(
-            F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("e_maker") == F.col("u_maker"), 1)).alias("right")
-        )
+        said = matched.where(F.col("same").isNotNull())
     else:
-        found = resolved.select("rule", "unit_id", F.col("e_key").alias("key")).join(own, "key")
-        counted = found.join(labelled, ["record_id", "unit_id"]).groupBy("rule").agg(
-            F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("same"), 1)).alias("right")
-        )
-    names = resolved.sparkSession.createDataFrame([(r.name,) for r in rules], "rule string")
+        said = matched.select("place", "unit_id", "key").join(own, "key").join(labelled, ["record_id", "unit_id"])
+    counted = said.groupBy("place").agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("same"), 1)).alias("right"))
+    names = [*[r.name for r in rules], "same_spot"]
+    places = matched.sparkSession.createDataFrame(list(enumerate(names)), "place int, rule string")
     n, right = F.coalesce("n", F.lit(0)), F.coalesce("right", F.lit(0))
-    return names.join(counted, "rule", "left").select("rule", ((right + 2 * 0.9) / (n + 2)).alias("confidence"))
+    return places.join(counted, "place", "left").select("place", "rule", ((right + 2 * 0.9) / (n + 2)).alias("confidence"))

@@ -25,7 +25,7 @@ def test_rules_and_contradictions(spark):
     ]
     got = matched(spark, records, units)
     assert set(got) == {(1, 1), (2, 1), (3, 1), (1, 2), (2, 2), (3, 2), (4, 5), (8, 7)}
-    assert got[(1, 1)][0] == "near_power_hub_farm" and got[(1, 2)][0] == "near_hub" and got[(4, 5)][0] == "near_power_hub"
+    assert got[(1, 1)][0] == "near_power_hub_farm" and got[(3, 2)][0] == "near_hub" and got[(1, 2)][0] == "same_spot" and got[(4, 5)][0] == "near_power_hub"
     assert all(0 < c <= 1 for _, c in got.values())
 
 
