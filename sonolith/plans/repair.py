@@ -37,10 +37,9 @@ def _total(shares: Column) -> Column:
     return F.get(shares, 0) + F.get(shares, 1) + F.get(shares, 2)
 
 
-def fill_traffic(spark: SparkSession, folder: str) -> DataFrame:
+def fill_traffic(df: DataFrame) -> DataFrame:
     """Period shares as shares of one (some are delivered in percent). A station's own counts of the same kind of
     vehicle know best, then its way's, then the country's roads of that group."""
-    df = table(spark, folder, "traffic")
     shares = F.col("period_shares")
     parts = {n: F.get(shares, i) / _total(shares) for i, n in enumerate(("day", "evening", "night"))}
     levels = [
@@ -59,10 +58,9 @@ def fill_traffic(spark: SparkSession, folder: str) -> DataFrame:
     return fill_from_groups(df, parts, known_shares(shares), levels, "median", 1000, "shares", finish)
 
 
-def fill_display(spark: SparkSession, folder: str) -> DataFrame:
+def fill_display(df: DataFrame) -> DataFrame:
     """Road classes. The other pieces of the way know best, then roads of that reference, then roads of the country
     that carry as much traffic at the same speed."""
-    df = table(spark, folder, "display")
     load = F.floor(F.log2(F.col("aadt_light") + 1.0) * 2).cast("int")
     speed = F.coalesce(F.col("speed_posted_kmh").cast("int"), F.lit(-1))
     df = df.withColumn("__load", load).withColumn("__speed", speed)
@@ -79,10 +77,9 @@ def fill_display(spark: SparkSession, folder: str) -> DataFrame:
     return out.drop("__load", "__speed")
 
 
-def fill_turbines(spark: SparkSession, folder: str) -> DataFrame:
+def fill_turbines(df: DataFrame) -> DataFrame:
     """Hub heights. The other records of the mast know best, then machines of that model in the farm, the farm, the
     model, the country."""
-    df = table(spark, folder, "turbines")
     keyed = (
         df.withColumn("__mast", reference_key(F.col("mast_ref")))
         .withColumn("__farm", bare_name(F.col("farm")))
@@ -108,26 +105,26 @@ def p1_found(spark: SparkSession, folder: str) -> DataFrame:
         )
 
     return (
-        rows(fill_turbines(spark, folder), "turbines", "record_id", "hub_m", "hub")
-        .unionByName(rows(fill_display(spark, folder), "display", "piece_id", "road_class", "class"))
-        .unionByName(rows(fill_traffic(spark, folder), "traffic", "count_id", "period_shares", "shares"))
+        rows(fill_turbines(table(spark, folder, "turbines")), "turbines", "record_id", "hub_m", "hub")
+        .unionByName(rows(fill_display(table(spark, folder, "display")), "display", "piece_id", "road_class", "class"))
+        .unionByName(rows(fill_traffic(table(spark, folder, "traffic")), "traffic", "count_id", "period_shares", "shares"))
     )
 
 
 def p1_hub_filled(spark: SparkSession, folder: str) -> DataFrame:
     """Every record with its hub height, the mark and the group that gave it."""
-    out = fill_turbines(spark, folder)
+    out = fill_turbines(table(spark, folder, "turbines"))
     return out.select("record_id", "hub", "hub_filled", "hub_level", "hub_support")
 
 
 def p1_class_filled(spark: SparkSession, folder: str) -> DataFrame:
     """Every piece with its road class, the mark and the group that gave it."""
-    return fill_display(spark, folder).select("piece_id", "class", "class_filled", "class_level", "class_support")
+    return fill_display(table(spark, folder, "display")).select("piece_id", "class", "class_filled", "class_level", "class_support")
 
 
 def p1_shares_filled(spark: SparkSession, folder: str) -> DataFrame:
     """Every count with its shares to four places, the mark and the group that gave them."""
-    out = fill_traffic(spark, folder)
+    out = fill_traffic(table(spark, folder, "traffic"))
     parts = [
         (F.floor(F.get("shares", F.lit(i)) * 10000 + 0.5) / 10000).alias(n)
         for i, n in enumerate(("day", "evening", "night"))
