@@ -86,11 +86,10 @@ def _statistics(known: DataFrame, levels: Sequence[Level], keys: Sequence[str],
         F.when((F.col("__level") == roots[i]) & whole(i, F.col), F.struct(F.lit(i).alias("__level"), *keyed(i, F.col)))
         for i in range(len(levels))
     ])
-    counts = (
-        merged.select(F.explode(F.array_compact(coarser)).alias("c"), "__part", "__v", "__n")
-        .groupBy(*[F.col(f"c.{c}").alias(c) for c in ("__level", *keys)], "__part", "__v")
-        .agg(F.sum("__n").alias("__n"))
-    )
+    counts = merged.select(F.explode(F.array_compact(coarser)).alias("c"), "__part", "__v", "__n")
+    counts = counts.select(*[F.col(f"c.{c}").alias(c) for c in ("__level", *keys)], "__part", "__v", "__n")
+    if kind == "mode":  # a median takes the counts of a value as they come, a mode needs their sum
+        counts = counts.groupBy("__level", *keys, "__part", "__v").agg(F.sum("__n").alias("__n"))
     mine = [F.col("__part") == j for j in range(len(names))]
     if kind == "median":
         best = [F.percentile(F.when(m, F.col("__v")), F.lit(0.5), F.col("__n")) for m in mine]
