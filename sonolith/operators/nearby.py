@@ -6,9 +6,9 @@ within the radius may lie in, so each pair comes out once. Blocks are range-part
 each task sweeps its rows once with an active set: what lies more than the strip's half-width behind is dropped.
 Memory is bounded by the rows within one half-width, not by the block. The exact distance decides on each pair.
 
-Skew: blocks are counted first; left rows of a block that holds more than `block_rows` are salted over several sweeps
-(the block's right rows are copied to each). The table of heavy blocks has at most rows / block_rows entries; it is
-collected in neither place and broadcast only by Spark's own size threshold.
+Skew: blocks are counted first, rows of both sides; where a side of a block holds more than `block_rows`, its rows are
+dealt to several parts, and each part of the left meets each part of the right in a sweep of its own. The table of heavy
+blocks has at most rows / block_rows entries; it is collected nowhere and broadcast only by Spark's own size threshold.
 
 Defined cases: a null or non-finite position, a latitude beyond +-90 or a null id has no place and no pair; longitudes count
 modulo 360; both poles work (a strip there is one block with the full circle as its half-width); repeated places give a
@@ -132,8 +132,8 @@ def pairs_within(
     block_rows: int = 50_000,
     per_block: float = 8.0,
 ) -> DataFrame:
-    """(left_id, right_id, distance_m) of all pairs at most radius_m apart; ids must be bigint. block_rows: left rows
-    of one block that are swept together; per_block: half-widths in a block."""
+    """(left_id, right_id, distance_m) of all pairs at most radius_m apart; ids must be bigint. block_rows: rows of
+    a side of one block that are swept together; per_block: half-widths in a block."""
     if not 0 < radius_m < 1_000_000:
         raise ValueError("radius_m must be above 0 and below 1,000 km")
     reach = math.degrees(radius_m / EARTH_RADIUS_M) * 1.000001 + 1e-9
@@ -151,16 +151,6 @@ def pairs_within(
         .withColumn("block", F.least(F.floor(F.col("lon") * F.col("blocks") / 360.0).cast("int"), F.col("blocks") - 1))
         .withColumn("x", F.col("lon") - F.col("block") * 360.0 / F.col("blocks"))
     )
-    heavy = (
-        own.groupBy("strip", "block")
-        .count()
-        .where(F.col("count") > block_rows)
-        .select("strip", "block", F.ceil(F.col("count") / block_rows).cast("int").alias("salts"))
-    )
-    salted = own.join(heavy, ["strip", "block"], "left").withColumn(
-        "salt",
-        F.when(F.col("salts").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64("id"), F.col("salts")).cast("int")),
-    )
     strips = F.sequence(strip_of(F.col("lat") - reach), strip_of(F.col("lat") + reach))
     copies = (
         b.withColumn("strip", F.explode(strips))
@@ -175,10 +165,28 @@ def pairs_within(
         .withColumn("block", F.pmod(F.col("raw"), F.col("blocks")).cast("int"))
         .withColumn("x", F.col("lon") - F.col("raw") * size)
     )
-    spread = (
-        copies.join(heavy, ["strip", "block"], "left")
-        .withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("salts"), F.lit(1)) - 1)))
+    # Blocks with many rows of either side: left rows are dealt to ls parts, right rows to rs, and each left part meets
+    # each right part in a sweep of its own, so that a pair still has one owner.
+    counted = own.select("strip", "block", F.lit(1).alias("l"), F.lit(0).alias("r")).unionByName(
+        copies.select("strip", "block", F.lit(0).alias("l"), F.lit(1).alias("r"))
     )
+    heavy = (
+        counted.groupBy("strip", "block")
+        .agg(F.sum("l").alias("l"), F.sum("r").alias("r"))
+        .where((F.col("l") > 0) & (F.col("r") > 0) & (F.greatest("l", "r") > block_rows))
+        .select("strip", "block", *[F.ceil(F.col(c) / block_rows).cast("int").alias(f"{c}s") for c in ("l", "r")])
+    )
+
+    def dealt(side: DataFrame, mine: str, other: str) -> DataFrame:
+        """Each row in its own part, once for each part of the other side."""
+        rows = side.join(heavy, ["strip", "block"], "left")
+        parts, others = F.coalesce(mine, F.lit(1)), F.coalesce(other, F.lit(1))
+        rows = rows.withColumn("mine", F.pmod(F.xxhash64("id"), parts).cast("int"))
+        rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), others - 1)))
+        l, r = ("mine", "other") if mine == "ls" else ("other", "mine")
+        return rows.withColumn("salt", F.col(l) * F.coalesce("rs", F.lit(1)) + F.col(r))
+
+    salted, spread = dealt(own, "ls", "rs"), dealt(copies, "rs", "ls")
     columns = ["strip", "block", "salt", "x", "w", "id", "lat", "lon"]
     both = salted.select(*columns, F.lit(0).alias("side")).unionByName(
         spread.select(*columns, F.lit(1).alias("side"))

@@ -66,3 +66,16 @@ def test_interpolation(spark):
     probes = spark.createDataFrame([("k", 5), ("k", 15), ("k", 20), ("k", 99), ("x", 1)], "k string, t long")
     got = {(r.k, r.t): r.o for r in interpolate(probes, known, ["k"], "t", "v", "o").collect()}
     assert got == {("k", 5): 1.0, ("k", 15): 2.0, ("k", 20): 3.0, ("k", 99): 3.0, ("x", 1): None}
+
+
+@pytest.mark.parametrize(("lefts", "rights"), [(3, 4000), (4000, 3), (900, 900)])
+def test_hot_places_of_either_side_are_dealt_to_several_tasks(spark, lefts, rights):
+    """Thousands of points in one place: every pair once, and no task gives more than a part of them."""
+
+    def points(n, name):
+        return spark.range(n).select(F.col("id").alias(name), (F.lit(50.0) + F.col("id") * 1e-9).alias("lat"), F.lit(8.0).alias("lon"))
+
+    out = pairs_within(points(lefts, "a"), points(rights, "b"), 100.0, "a", "b", block_rows=100)
+    parts = out.withColumn("task", F.spark_partition_id()).groupBy("task").agg(F.count(F.lit(1)).alias("n")).collect()
+    assert sum(r.n for r in parts) == lefts * rights == out.select("left_id", "right_id").distinct().count()
+    assert max(r.n for r in parts) < 0.5 * lefts * rights
