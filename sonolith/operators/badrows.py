@@ -1,25 +1,24 @@
 """Rows that fail to parse: bulk parsing of record blocks, bisection of failing blocks, strict diagnosis of the rest.
 
 `parse_records` takes raw delimited records in a column and gives every one of them back, either with typed fields or
-with the reason why it doesn't load. A block of records goes through the bulk path at once: the C parser splits it in
-strict mode. A block that fails is cut in two and tried again, so that good records still load in bulk and single bad
-ones are left; these are diagnosed by a strict parser of the record alone. What was split is then transposed, and the
-checked columns are matched and converted as Arrow arrays; records in doubt there go to the strict parser too. The bulk
-path accepts only what the strict one accepts.
+with the reason why it doesn't load. The records of a batch lie in one buffer, a line each; a block of them goes through
+the bulk path at once: the columnar CSV reader turns that stretch of the buffer into columns. A block that fails is cut
+in two and tried again, so that good records still load in bulk; of a failing block of LEAF records each is parsed, and
+diagnosed, by a strict parser of the record alone. Blocks grow while they load and shrink while they fail. The checked
+columns are then matched and converted as arrays; records in doubt there go to the strict parser too. The bulk path
+accepts only what the strict one accepts: what the reader takes more kindly (stray quotes, line ends within a record,
+empty lines, a byte order mark) is found by one columnar match beforehand and makes its block fail.
 
 The first reason that holds is given: ``quoting`` (a field is neither quoted as a whole, with doubled quotes within,
 nor free of quotes), ``column_count``, ``bad_value``.
 
 Defined cases: a trailing carriage return isn't part of a record; a null or empty record has one field; a quoted field
-may hold delimiters, quotes and line breaks; records of any length work (the bulk parser's limit on a field sends longer
-ones to the strict parser). Other columns pass through; one named like a field or
-`reason` is replaced by it. Rows are
-parsed where they lie: no shuffle, and no state beyond a block.
+may hold delimiters, quotes and line breaks; records of any length work. Other columns pass through; one named like a
+field or `reason` is replaced by it. Rows are parsed where they lie: no shuffle, and no state beyond a block.
 """
 
 from __future__ import annotations
 
-import csv
 import re
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
@@ -27,10 +26,11 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import pyarrow.csv as pcsv
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-BLOCK = 64
+FIRST, LEAF, MOST = 64, 16, 4096
 NUMBER = r" *[+-]?[0-9]+([.,][0-9]+)? *"
 _NUMBER = re.compile(NUMBER)
 
@@ -100,18 +100,24 @@ class _Loader:
     def __init__(self, fields: Sequence[Field], delimiter: str):
         self.fields, self.delimiter = fields, delimiter
 
-    def bulk(self, block: list[str]) -> list[list[str]] | None:
-        """The block's records split into fields, or None where any of them doesn't split plainly."""
-        whole = "".join(block)
-        if "\n" in whole or "\r" in whole:  # the C parser would take them for the ends of records
-            return None
+    def bulk(self, lines: pa.Buffer) -> pa.Table | None:
+        """The block's records as columns of texts, or None where any of them doesn't split plainly."""
+        names = [f.name for f in self.fields]
+        kinds = pcsv.ConvertOptions(column_types={n: pa.string() for n in names}, strings_can_be_null=False, null_values=[])
+        read = pcsv.ReadOptions(use_threads=False, column_names=names, block_size=max(1 << 20, lines.size + 1))
+        form = pcsv.ParseOptions(delimiter=self.delimiter, ignore_empty_lines=False)
         try:
-            rows = list(csv.reader(block, delimiter=self.delimiter, strict=True))
-        except csv.Error:
+            return pcsv.read_csv(pa.BufferReader(lines), read, form, kinds)
+        except pa.ArrowInvalid:
             return None
-        width = len(self.fields)
-        # A record that ends within quotes takes the next one in, so that the counts differ.
-        return rows if len(rows) == len(block) and all(len(row) == width for row in rows) else None
+
+    def plain(self, texts: pa.Array) -> np.ndarray:
+        """Whether the reader takes each record as the strict parser does, as far as its fields are as many as wanted."""
+        d = re.escape(self.delimiter)
+        field = f'(?:"(?:[^"\\r\\n]|"")*"|[^"{d}\\r\\n]*)'
+        good = pc.match_substring_regex(texts, rf"\A{field}(?:{d}{field})*\z")
+        kind = pc.and_(pc.greater(pc.binary_length(texts), 0), pc.invert(pc.starts_with(texts, "\ufeff")))
+        return pc.and_(good, kind).to_numpy(zero_copy_only=False)
 
     def strict(self, record: str) -> tuple[list[str] | None, str | None]:
         """The fields of one record as texts, or the reason why it doesn't load."""
@@ -134,25 +140,44 @@ class _Loader:
         value = float(text.strip(" ").replace(",", "."))
         return field.low <= value <= field.high or (field.unknown and value == 0)
 
-    def load(self, records: list[str | None]) -> tuple[list[pa.Array], pa.Array]:
+    def load(self, records: pa.Array) -> tuple[list[pa.Array], pa.Array]:
         """Columns in the order of the records, and the reasons."""
-        texts = [r[:-1] if r is not None and r.endswith("\r") else r or "" for r in records]
-        blank = [None] * len(self.fields)
-        rows: list[list] = [blank] * len(texts)
+        whole = pc.fill_null(records.cast(pa.large_string()), "")
+        texts = pc.replace_substring_regex(whole, r"\r\z", "")
+        if isinstance(texts, pa.ChunkedArray):
+            texts = texts.combine_chunks()
+        odd = np.concatenate([[0], np.cumsum(~self.plain(texts))])
+        lined = pc.binary_join_element_wise(texts, pa.scalar("", pa.large_string()), pa.scalar("\n", pa.large_string()))
+        offsets = np.frombuffer(lined.buffers()[1], np.int64)[lined.offset : lined.offset + len(lined) + 1]
+        data = lined.buffers()[2]
         reasons: list[str | None] = [None] * len(texts)
-        stack = [(i, min(i + BLOCK, len(texts))) for i in range(0, len(texts), BLOCK)]
-        while stack:
-            a, b = stack.pop()
-            if (block := self.bulk(texts[a:b])) is not None:
-                rows[a:b] = block
-            elif b - a > 1:
-                middle = (a + b) // 2
-                stack += [(a, middle), (middle, b)]
-            else:
-                fields, reasons[a] = self.strict(texts[a])
-                rows[a] = fields or blank
-        columns = [pa.array(c, pa.string()) for c in zip(*rows, strict=True)] if rows else []
-        columns = columns or [pa.array([], pa.string()) for _ in self.fields]
+        parts: list[list[pa.Array]] = [[pa.array([], pa.string())] for _ in self.fields]
+        size, at = FIRST, 0
+        while at < len(texts):
+            end = min(at + size, len(texts))
+            whole_block, stack = True, [(at, end)]
+            while stack:  # from the left, so that columns come in order
+                a, b = stack.pop()
+                block = None
+                if odd[a] == odd[b]:
+                    block = self.bulk(data.slice(int(offsets[a]), int(offsets[b] - offsets[a])))
+                if block is not None and block.num_rows == b - a:
+                    for part, column in zip(parts, block.columns, strict=True):
+                        part.extend(column.chunks)
+                    continue
+                whole_block = False
+                if b - a > LEAF:
+                    middle = (a + b) // 2
+                    stack += [(middle, b), (a, middle)]
+                    continue
+                rows: list[list] = []
+                for i in range(a, b):
+                    fields, reasons[i] = self.strict(texts[i].as_py())
+                    rows.append(fields or [None] * len(self.fields))
+                for part, values in zip(parts, zip(*rows, strict=True), strict=True):
+                    part.append(pa.array(values, pa.string()))
+            size, at = min(2 * size, MOST) if whole_block else max(size // 2, 2 * LEAF), end
+        columns = [pa.concat_arrays(part) for part in parts]
         # The split columns are checked as a whole. A quote left in a field is either doubled or a fault, and an
         # invalid value is one: the strict parser decides on these records.
         doubt = pa.array([False] * len(texts), pa.bool_())
@@ -165,7 +190,7 @@ class _Loader:
             out.append(column)
         for i in np.flatnonzero(doubt.to_numpy(zero_copy_only=False)).tolist():
             if reasons[i] is None:
-                _, reasons[i] = self.strict(texts[i])
+                _, reasons[i] = self.strict(texts[i].as_py())
         reason = pa.array(reasons, pa.string())
         loads = pc.is_null(reason)
         return [pc.if_else(loads, c, pa.scalar(None, c.type)) for c in out], reason
@@ -186,7 +211,7 @@ def parse_records(df: DataFrame, raw: str, fields: Sequence[Field], delimiter: s
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         loader = _Loader(fields, delimiter)
         for batch in batches:
-            columns, reasons = loader.load(batch.column(raw).to_pylist())
+            columns, reasons = loader.load(batch.column(raw))
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, *columns, reasons], names=[*batch.schema.names, *names, "reason"]
             )

@@ -1,5 +1,6 @@
 """Records that don't load: every way of failing, and the bulk path against the strict parser."""
 
+import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -41,10 +42,10 @@ def test_empty_and_long(spark):
 
 
 @settings(max_examples=300, deadline=None)
-@given(st.lists(st.text(alphabet='",x5 \n\r.', max_size=12), max_size=40))
+@given(st.lists(st.text(alphabet='",x5 \n\r.é\ufeff', max_size=12), max_size=40))
 def test_bulk_equals_strict(records):
     loader = _Loader(FIELDS, ",")
-    _, reasons = loader.load(list(records))
+    _, reasons = loader.load(pa.array(records, pa.string()))
     for record, reason in zip(records, reasons.to_pylist(), strict=True):
         text = record[:-1] if record.endswith("\r") else record
         assert loader.strict(text)[1] == reason
@@ -53,3 +54,10 @@ def test_bulk_equals_strict(records):
 def test_split():
     assert split_strict('a,"b,""c""",') == ["a", 'b,"c"', ""]
     assert split_strict('a"b') is None
+
+
+def test_blocks_of_all_kinds_keep_their_order():
+    records = [f"r{i},20,3" if i % 97 else f"r{i},20" for i in range(3000)] + [f'"r{i}",20,3' for i in range(3000, 9000)]
+    columns, reasons = _Loader(FIELDS, ",").load(pa.array(records, pa.string()))
+    assert [x or f"r{i}" for i, x in enumerate(columns[0].to_pylist())] == [f"r{i}" for i in range(9000)]
+    assert [i for i, r in enumerate(reasons.to_pylist()) if r] == list(range(0, 3000, 97))
