@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -89,3 +91,37 @@ def combine_codes(df: DataFrame, keys: list[str], code: str, unknown: int = 255,
         .cast("int")
         .alias("combined")
     )
+
+
+def stencil(df: DataFrame, x: str, y: str, value: str, weights: Sequence[float], out: str = "mean") -> DataFrame:
+    """Weighted mean over the square of cells around each cell, the weights being those of a row times those of a column
+    (an odd number of them); null where any cell of the square has no value. Cells are copied along one axis and summed,
+    then along the other: two aggregates that merge map-side, whatever the shape of the grid."""
+    reach, whole = len(weights) // 2, float(sum(weights)) ** 2
+    steps = F.array(*[F.struct(F.lit(i - reach).alias("by"), F.lit(w).alias("w")) for i, w in enumerate(weights)])
+
+    def along(cells: DataFrame, axis: str) -> DataFrame:
+        moved = cells.withColumn("__s", F.explode(steps)).withColumn(axis, F.col(axis) + F.col("__s.by"))
+        return moved.groupBy(x, y).agg(
+            F.sum(F.col("__v") * F.col("__s.w")).alias("__v"), F.sum("__n").alias("__n"),
+            F.max(F.when(F.col("__s.by") == 0, F.col("__own"))).alias("__own"),
+        )
+
+    cells = df.where(F.col(value).isNotNull()).select(x, y, F.col(value).alias("__v"), F.lit(1).alias("__n"), F.lit(True).alias("__own"))
+    both = along(along(cells, y), x)
+    full = F.when(F.col("__n") == len(weights) ** 2, F.col("__v") / whole)
+    return both.where(F.coalesce("__own", F.lit(False))).select(x, y, full.alias(out))
+
+
+def distance_to_missing(df: DataFrame, x: str, y: str, valid: Column, reach: int, out: str = "distance") -> DataFrame:
+    """Steps from each cell to the nearest missing one or out of the grid (1 along an axis, root 2 across), at most
+    reach + 1: what a two-pass chamfer transform gives, by copying each missing cell to the cells within reach."""
+    far = float(reach + 1)
+    steps = [(i, j, max(abs(i), abs(j)) - min(abs(i), abs(j)) + min(abs(i), abs(j)) * 2**0.5) for i in range(-reach, reach + 1) for j in range(-reach, reach + 1)]
+    near = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.lit(d).alias("d")) for i, j, d in steps if d < far])
+    missing = df.where(~F.coalesce(valid, F.lit(False))).select(x, y, F.explode(near).alias("s"))
+    found = missing.groupBy((F.col(x) + F.col("s.i")).alias(x), (F.col(y) + F.col("s.j")).alias(y)).agg(F.min("s.d").alias("__d"))
+    edge = df.agg(F.min(x).alias("__x0"), F.max(x).alias("__x1"), F.min(y).alias("__y0"), F.max(y).alias("__y1"))
+    ends = {c: edge.select(c).scalar() for c in ("__x0", "__x1", "__y0", "__y1")}
+    border = F.least(F.col(x) - ends["__x0"], ends["__x1"] - F.col(x), F.col(y) - ends["__y0"], ends["__y1"] - F.col(y)) + 1.0
+    return df.select(x, y).join(found, [x, y], "left").select(x, y, F.least(F.coalesce("__d", F.lit(far)), border, F.lit(far)).alias(out))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sonolith.functions.levels import energy, lden_energy, level
+from sonolith.operators.selection import exact_ranks
 
 
 def sum_levels(df: DataFrame, keys: list[str], level_db: str, out: str = "level_db") -> DataFrame:
@@ -41,10 +42,12 @@ def upper_median(value: str) -> Column:
 
 
 def median_of_medians(df: DataFrame, keys: list[str], member: str, value: str, least: int = 2) -> DataFrame:
-    """Upper median of each member, then of the members; only keys with enough of them."""
-    inner = df.groupBy(*keys, member).agg(upper_median(value).alias("__m"))
-    outer = inner.groupBy(*keys).agg(upper_median("__m").alias("median"), F.count(F.lit(1)).alias("members"))
-    return outer.where(F.col("members") >= least)
+    """Upper median of each member, then of the members; only keys with enough of them. Exact for any number of rows or
+    members a key."""
+    upper = {"median": lambda n: F.floor(n / 2) + 1}
+    inner = exact_ranks(df, [*keys, member], value, upper)
+    outer = exact_ranks(inner, keys, "median", upper).withColumnRenamed("values", "members")
+    return outer.where(F.col("members") >= least).select(*keys, "median", "members")
 
 
 def weighted_median(df: DataFrame, keys: list[str], value: str, weight: str, tie: str) -> DataFrame:
@@ -83,9 +86,9 @@ def top_with_rest(df: DataFrame, keys: list[str], name: str, value: str, n: int)
     )
 
 
-def nearest_rank(value: str, p: float) -> Column:
-    """The ceil(p n)-th smallest value; merged map-side as well."""
-    return F.expr(f"percentile_disc({p}) within group (order by {value})")
+def nearest_rank(p: float):
+    """The rank of the ceil(p n)-th smallest value, for `exact_ranks`."""
+    return lambda n: F.ceil(n * p)
 
 
 def equal_count_buckets(df: DataFrame, keys: list[str], order: list[Column], k: int, out: str = "bucket") -> DataFrame:

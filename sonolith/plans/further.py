@@ -377,7 +377,7 @@ def W25_merged_states(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "embeddings").select("vec_id", F.size(runs).alias("runs"))
 
 
-def A49_class_merge(spark: SparkSession, folder: str) -> DataFrame:
+def F_class_energy(spark: SparkSession, folder: str) -> DataFrame:
     """Classes of eight sizes merged; energy is conserved."""
     e = F.floor(energy(F.col("p_size").cast("double")) * 1000 + 0.5).cast("long")
     return table(spark, folder, "part").groupBy(F.floor(F.col("p_size") / 8).alias("class")).agg(
@@ -399,7 +399,7 @@ QUERIES = {
         W15_interleaved, W17_first_sign, W17_first_sign_all, W21_half_way, W23_slope, W24_acceleration, W26_history, W27_nodes, T5_fastest,
         T11_distinguishable, T13_classes, U7_merged_lists, J6_offsets, J9_bands, J11_fallback, J15_same_name, J27_removed,
         J36_country, J41_flagged, J43_witnesses, P13_tags, P20_safe_numbers, S13_checks, S27_registers, S29_shares, K11_lines,
-        J22_hosts, J22_hosts_all, J30_crossings, D12_curves, D17_passes, D17_passes_all, W25_merged_states, A49_class_merge, A54_blend,
+        J22_hosts, J22_hosts_all, J30_crossings, D12_curves, D17_passes, D17_passes_all, W25_merged_states, F_class_energy, A54_blend,
     )
 }
 
@@ -442,7 +442,7 @@ SQL = {
     "D12_curves": f"""with p as (select p_partkey, greatest(p_retailprice * 2 - 1500, 10.0) as d, p_size * 100.0::double as s from part), c as (select p_partkey, s, {_curve(95.0)} as a, {_curve(101.0)} as b, {_curve(110.0)} as c from p)
         select p_partkey, {_r('case when s < 2000 then a + (b - a) * (s - 500) / 1500 else b + (c - b) * (s - 2000) / 2000 end', 3)} as level_db from c""",
     "D17_passes": f"select piece_id, {_r('1 - exp(-(aadt_light / 24) * 30.0::double / 3600)', 5)} as share from display where aadt_light < 2000",
-    "A49_class_merge": "select cast(floor(p_size / 8) as bigint) as class, count(*) as n, sum(cast(floor(exp(p_size::double * (ln(10) / 10)) * 1000 + 0.5) as bigint))::bigint as energy from part group by 1",
+    "F_class_energy": "select cast(floor(p_size / 8) as bigint) as class, count(*) as n, sum(cast(floor(exp(p_size::double * (ln(10) / 10)) * 1000 + 0.5) as bigint))::bigint as energy from part group by 1",
     "A54_blend": f"""with p as (select p_partkey, p_size::double as a, p_retailprice / 30 as b, (p_partkey % 10) / 10.0::double as w from part) select p_partkey, {_r('a * (1 - w) + b * w', 3)} as in_db,
         {_r('10 * log10(exp(a * (ln(10) / 10)) * (1 - w) + exp(b * (ln(10) / 10)) * w)', 3)} as in_energy from p""",
     "A1_bands": f"""with e as (select label, unnest(embedding[1:24])::double as x, generate_subscripts(embedding[1:24], 1) - 1 as i from embeddings)

@@ -202,9 +202,10 @@ def A40_error_report(spark: SparkSession, folder: str) -> DataFrame:
     sums = _lines(spark, folder).groupBy("l_orderkey").agg(total.alias("t"))
     j = _orders(spark, folder).join(sums, F.col("o_orderkey") == F.col("l_orderkey"))
     e = j.select("o_orderpriority", rounded((F.col("t") - F.col("o_totalprice")) / 1000, 3).alias("e"))
-    return e.groupBy("o_orderpriority").agg(
-        grouping.nearest_rank("abs(e)", 0.95).alias("p95"), F.max(F.abs("e")).alias("worst"), rounded(F.avg("e"), 2).alias("bias")
-    )
+    e = e.withColumn("size", F.abs("e"))
+    ranked = selection.exact_ranks(e, ["o_orderpriority"], "size", {"p95": grouping.nearest_rank(0.95)})
+    rest = e.groupBy("o_orderpriority").agg(F.max("size").alias("worst"), rounded(F.avg("e"), 2).alias("bias"))
+    return rest.join(ranked, "o_orderpriority").select("o_orderpriority", "p95", "worst", "bias")
 
 
 def A42_buckets(spark: SparkSession, folder: str) -> DataFrame:
@@ -238,7 +239,7 @@ def A51_feathered(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def A52_bilinear(spark: SparkSession, folder: str) -> DataFrame:
+def S14_bilinear(spark: SparkSession, folder: str) -> DataFrame:
     """A grid of mean quantities read between its nodes at each part's place."""
     grid = _lines(spark, folder).groupBy((F.col("l_partkey") % 20).alias("gx"), (F.col("l_suppkey") % 20).alias("gy")).agg(
         F.avg("l_quantity").alias("v")
@@ -347,8 +348,10 @@ def S19_partitions(spark: SparkSession, folder: str) -> DataFrame:
 
 def T1_total_order(spark: SparkSession, folder: str) -> DataFrame:
     """A total order with a unique tail, as ranks."""
-    w = Window.partitionBy("p_brand").orderBy(F.desc("p_retailprice"), "p_partkey")
-    return table(spark, folder, "part").select("p_partkey", F.row_number().over(w).alias("place"))
+    p = table(spark, folder, "part").select("p_partkey", "p_brand", (-F.col("p_retailprice")).alias("down"), F.lit(1).alias("one"))
+    ranked = selection.running_total(p, ["p_brand", "down", "p_partkey"], "one")
+    first = ranked.groupBy("p_brand").agg(F.min("before").alias("first"))
+    return ranked.join(first, "p_brand").select("p_partkey", (F.col("before") - F.col("first") + 1).alias("place"))
 
 
 def T12_newest(spark: SparkSession, folder: str) -> DataFrame:
@@ -380,9 +383,7 @@ def U5_intersection(spark: SparkSession, folder: str) -> DataFrame:
 
 def U3_subset(spark: SparkSession, folder: str) -> DataFrame:
     """Whether all line keys are order keys."""
-    lost = _lines(spark, folder).select("l_orderkey").exceptAll(
-        _lines(spark, folder).join(_orders(spark, folder), F.col("l_orderkey") == F.col("o_orderkey"), "left_semi").select("l_orderkey")
-    )
+    lost = _lines(spark, folder).select("l_orderkey").subtract(_orders(spark, folder).select(F.col("o_orderkey").alias("l_orderkey")))
     return lost.agg((F.count(F.lit(1)) == 0).alias("subset"))
 
 
@@ -428,7 +429,7 @@ def D2_speed_cascade(spark: SparkSession, folder: str) -> DataFrame:
     return j.select("piece_id", rounded(speed).alias("speed"), rounded(F.least(speed, F.lit(80.0))).alias("heavy"))
 
 
-def D3_flows(spark: SparkSession, folder: str) -> DataFrame:
+def F_vehicle_rates(spark: SparkSession, folder: str) -> DataFrame:
     """Vehicles an hour of the day by kind: two-way roads carry half uphill."""
     d = table(spark, folder, "display")
     half = F.when(F.coalesce("oneway", F.lit(False)), 1.0).otherwise(0.5)
@@ -436,7 +437,7 @@ def D3_flows(spark: SparkSession, folder: str) -> DataFrame:
     return d.select("piece_id", *[rounded(F.col(f"aadt_{k}") * half * 0.7 / 12).alias(k) for k in kinds])
 
 
-def D5_building_load(spark: SparkSession, folder: str) -> DataFrame:
+def F_piecewise(spark: SparkSession, folder: str) -> DataFrame:
     """A load by size, piecewise and clamped."""
     load = F.when(F.col("p_size") < 10, F.col("p_size") * 0.5).when(F.col("p_size") < 30, 5 + (F.col("p_size") - 10) * 0.2).otherwise(9.0)
     return table(spark, folder, "part").select("p_partkey", rounded(F.greatest(F.least(load, F.lit(8.5)), F.lit(1.0))).alias("load"))
@@ -459,7 +460,7 @@ def P17_masked(spark: SparkSession, folder: str) -> DataFrame:
     return A34_combine(spark, folder).where("combined <> 255 and (combined = 254 or combined <= 140)")
 
 
-def G1_components(spark: SparkSession, folder: str) -> DataFrame:
+def G3_components(spark: SparkSession, folder: str) -> DataFrame:
     """Parts and suppliers connected by a line."""
     edges = _lines(spark, folder).select(
         F.col("l_partkey").alias("a"), (F.col("l_suppkey") + 10_000_000).alias("b")
@@ -484,10 +485,10 @@ QUERIES = {
         A6_average_day, A9_thresholds, A10_weighted_mean, A11_weighted_mode, A12_distinct_rows, A15_run_median, A18_two_pieces,
         A23_density, A24_box_sums, A27_monthly_rates, A28_deficits, A30_capped, A31_least_price, A33_pyramid, A34_combine,
         A34_p_norm, A35_mixture, A36_convolution, A37_exceeded, A39_quota, A40_error_report, A42_buckets, A43_catchment,
-        A44_local_ratio, A50_period_mean, A51_feathered, A52_bilinear, J34_metadata, J35_lookup, J35_lookup_all, J37_fallbacks, J40_drift, J40_drift_all,
+        A44_local_ratio, A50_period_mean, A51_feathered, S14_bilinear, J34_metadata, J35_lookup, J35_lookup_all, J37_fallbacks, J40_drift, J40_drift_all,
         K4_resume, K9_merge, K10_content, S10_json, S19_partitions, S28_overlay, S28_overlay_all, T1_total_order, T12_newest, U1_union,
         U2_distinct, U3_subset, U4_difference, U5_intersection, U8_halo, F_codes, F_names, F_fnv, F_digits, D2_speed_cascade,
-        D3_flows, D5_building_load, P7_guessed, P8_implausible, P17_masked, G1_components, G2_flow,
+        F_vehicle_rates, F_piecewise, P7_guessed, P8_implausible, P17_masked, G3_components, G2_flow,
     )
 }
 
@@ -548,7 +549,7 @@ SQL = {
         select l_suppkey, year, {_r('case when count(*) >= 30 then sum(r) / sum(l_quantity) else any_value(w) end')} as ratio from l join w using (year) group by 1, 2""",
     "A50_period_mean": "select l_suppkey, " + _r(" + ".join(f"avg(l_quantity) filter (where l_returnflag = '{f}') * {h} / 24.0::double" for f, h in (("A", 12), ("N", 4), ("R", 8)))) + " as mean from lineitem group by 1",
     "A51_feathered": f"select l_partkey, {_r('sum(l_discount * 10 * l_quantity) / greatest(sum(l_discount * 10), 1.0)')} as blend from lineitem group by 1",
-    "A52_bilinear": f"""with g as (select l_partkey % 20 as gx, l_suppkey % 20 as gy, avg(l_quantity) as v from lineitem group by 1, 2), p as (select p_partkey, p_partkey % 181 / 10.0::double as x, p_size % 19 + 0.25::double as y from part),
+    "S14_bilinear": f"""with g as (select l_partkey % 20 as gx, l_suppkey % 20 as gy, avg(l_quantity) as v from lineitem group by 1, 2), p as (select p_partkey, p_partkey % 181 / 10.0::double as x, p_size % 19 + 0.25::double as y from part),
         c as (select p.*, i, j, (case when i = 1 then x - floor(x) else 1 - (x - floor(x)) end) * (case when j = 1 then y - floor(y) else 1 - (y - floor(y)) end) as w from p, range(2) a(i), range(2) b(j))
         select p_partkey, {_r('case when count(v) = count(*) then sum(w * v) end')} as value from c left join g on gx = floor(x) + i and gy = floor(y) + j where w > 0 group by p_partkey, x, y""",
     "J34_metadata": "select c_nationkey, count(*) as lines, sum(l_quantity) as quantity from lineitem join orders on l_orderkey = o_orderkey join customer on o_custkey = c_custkey group by 1",
@@ -582,8 +583,8 @@ SQL = {
     "D2_speed_cascade": f"""with d as (select *, lower(trim(road_class)) as class from display), a as (select country_iso, class, quantile_cont(speed_posted_kmh, 0.5) as a from d where speed_posted_kmh is not null group by 1, 2),
         b as (select class, quantile_cont(speed_posted_kmh, 0.5) as b from d where speed_posted_kmh is not null group by 1), s as (select piece_id, coalesce(speed_posted_kmh::double, a, b, 50.0) as s from d left join a using (country_iso, class) left join b using (class))
         select piece_id, {_r('s')} as speed, {_r('least(s, 80.0)')} as heavy from s""",
-    "D3_flows": "select piece_id, " + ", ".join(f"{_r(f'aadt_{k} * case when coalesce(oneway, false) then 1.0::double else 0.5::double end * 0.7::double / 12')} as {k}" for k in ("light", "medium", "heavy", "moto")) + " from display",
-    "D5_building_load": f"select p_partkey, {_r('greatest(least(case when p_size < 10 then p_size * 0.5::double when p_size < 30 then 5 + (p_size - 10) * 0.2::double else 9 end, 8.5), 1.0)')} as load from part",
+    "F_vehicle_rates": "select piece_id, " + ", ".join(f"{_r(f'aadt_{k} * case when coalesce(oneway, false) then 1.0::double else 0.5::double end * 0.7::double / 12')} as {k}" for k in ("light", "medium", "heavy", "moto")) + " from display",
+    "F_piecewise": f"select p_partkey, {_r('greatest(least(case when p_size < 10 then p_size * 0.5::double when p_size < 30 then 5 + (p_size - 10) * 0.2::double else 9 end, 8.5), 1.0)')} as load from part",
     "P7_guessed": "select piece_id from display where source_id in (1, 2, 3) or (traffic_estimated & 5) > 0",
     "P8_implausible": "select piece_id from display where aadt_light + aadt_medium + aadt_heavy + aadt_moto > 20000 * coalesce(lanes::int, 1)",
     "P17_masked": f"{_COMB} select x, combined from k where combined <> 255 and (combined = 254 or combined <= 140)",

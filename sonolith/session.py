@@ -35,9 +35,37 @@ def shared_dir(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
+_written: dict[int, str] = {}
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Writes df once as Parquet in the shared folder and reads it back: a cut of the lineage that survives the loss
-    of executors, for results that several later jobs read."""
+    of executors, for results that several later jobs read. `discard` deletes it once nothing reads it any more,
+    `release` deletes all that is left."""
     path = f"{shared_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.__dict__["_sonolith_path"] = path
+    _written[id(path)] = path
+    return out
+
+
+def discard(*tables: DataFrame | None) -> None:
+    """Deletes what `materialize` wrote for these tables; nothing may read them any more."""
+    for df in tables:
+        path = None if df is None else df.__dict__.pop("_sonolith_path", None)
+        if path is not None:
+            _delete(df.sparkSession, path)
+            _written.pop(id(path), None)
+
+
+def release(spark: SparkSession) -> None:
+    """Deletes all that `materialize` wrote in this process: to be called when the results of queries are stored."""
+    for path in list(_written.values()):
+        _delete(spark, path)
+    _written.clear()

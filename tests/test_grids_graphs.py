@@ -97,10 +97,12 @@ def test_rows_join_only_where_exactly_two_meet(spark):
 
 
 def test_upper_median_and_nearest_rank(spark):
-    for n in range(1, 42):
-        df = spark.createDataFrame([(float(x),) for x in range(n)], "v double")
-        got = df.agg(grouping.upper_median("v").alias("m"), grouping.nearest_rank("v", 0.95).alias("p")).first()
-        assert got.m == sorted(range(n))[n // 2] and got.p == sorted(range(n))[-(-95 * n // 100) - 1]
+    rows = [(n, float(x)) for n in range(1, 42) for x in range(n)]
+    df = spark.createDataFrame(rows, "n long, v double")
+    upper = {r.n: r.m for r in df.groupBy("n").agg(grouping.upper_median("v").alias("m")).collect()}
+    ranked = {r.n: r.p for r in selection.exact_ranks(df, ["n"], "v", {"p": grouping.nearest_rank(0.95)}).collect()}
+    assert upper == {n: float(n // 2) for n in range(1, 42)}
+    assert ranked == {n: float(-(-n * 95 // 100) - 1) for n in range(1, 42)}
 
 
 def test_runs_of_an_array(spark):
@@ -109,3 +111,112 @@ def test_runs_of_an_array(spark):
     df = spark.createDataFrame([([1.0, 1.1, 1.3, 1.25, 2.0, 0.0],), ([],), ([5.0],)], "v array<double>")
     got = [[(r.first, r.last) for r in x.m] for x in df.select(merged_runs(F.col("v"), 0.25).alias("m")).collect()]
     assert got == [[(0, 1), (2, 3), (4, 4), (5, 5)], [], [(0, 0)]]
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_service_tree_against_dijkstra(spark, seed):
+    """Ways to the nearest drain; parts without one lead to their busiest node."""
+    import heapq
+    from collections import Counter, defaultdict
+
+    r = random.Random(seed)
+    edges = [(r.randrange(40), r.randrange(40), float(r.randrange(1, 9))) for _ in range(45)] + [(100 + i, 101 + i, 1.0) for i in range(20)] + [(105, 105, 1.0)]
+    drains = [3, 9, 17]
+    near, degree = defaultdict(list), Counter()
+    for a, b, d in edges:
+        if a != b:
+            near[a].append((b, d))
+            near[b].append((a, d))
+            degree[a] += 1
+            degree[b] += 1
+    distance = {}
+
+    def search(sources):
+        heap = [(0.0, n) for n in sources]
+        while heap:
+            d, u = heapq.heappop(heap)
+            if d < distance.get(u, float("inf")):
+                distance[u] = d
+                for v, e in near[u]:
+                    heapq.heappush(heap, (d + e, v))
+
+    search([n for n in drains if n in degree])
+    for n in sorted(degree):
+        if n not in distance:
+            part, at = [n], 0
+            while at < len(part):
+                part += [v for v, _ in near[part[at]] if v not in part]
+                at += 1
+            search([max(part, key=lambda u: (degree[u], -u))])
+    tree = graphs.service_tree(spark.createDataFrame(edges, "a long, b long, length double"), spark.createDataFrame([(n,) for n in drains], "node long"))
+    rows = {x.node: (x.distance, x.parent) for x in tree.collect()}
+    assert {n: d for n, (d, _) in rows.items()} == distance
+    for n, (d, p) in rows.items():
+        assert (p is None) == (d == 0) and (p is None or any(v == p and distance[p] + e == d for v, e in near[n]))
+
+
+def test_flow_down_a_deep_tree(spark):
+    n = 300  # a path, and a leaf on each of its nodes
+    tree = [(0, None)] + [(i, i - 1) for i in range(1, n)] + [(1000 + i, i) for i in range(n)]
+    load = [(1000 + i, 1.0) for i in range(n)] + [(5, 2.0), (5, 3.0)]
+    got = graphs.accumulate(spark.createDataFrame(tree, "node long, parent long"), spark.createDataFrame(load, "node long, load double"))
+    flow = {x.node: x.flow for x in got.collect()}
+    assert flow[0] == n + 5 and flow[6] == n - 6 and flow[5] == n - 5 + 5 and flow[1007] == 1.0
+
+
+def test_stencil_and_distance_against_loops(spark):
+    r = random.Random(4)
+    cells = {(x, y): float(r.randrange(100)) for x in range(11) for y in range(13) if r.random() > 0.03}
+    df = spark.createDataFrame([(x, y, v) for (x, y), v in cells.items()] + [(50, 50, None)], "x int, y int, v double")
+    w = (1, 2, 2, 2, 2, 2, 1)
+    got = {(c.x, c.y): c.mean for c in grids.stencil(df, "x", "y", "v", w).collect()}
+    assert set(got) == set(cells)
+    for (x, y), mean in got.items():
+        square = [(cells.get((x + i - 3, y + j - 3)), w[i] * w[j]) for i in range(7) for j in range(7)]
+        want = None if any(v is None for v, _ in square) else sum(v * k for v, k in square) / 144
+        assert mean == want if want is None else abs(mean - want) < 1e-9
+    full = [(x, y, x * y % 17 != 5) for x in range(20) for y in range(15)]
+    out = grids.distance_to_missing(spark.createDataFrame(full, "x int, y int, ok boolean"), "x", "y", F.col("ok"), 6)
+    got = {(c.x, c.y): c.distance for c in out.collect()}
+    # Two chamfer passes over the raster.
+    d = {(x, y): 99.0 if ok else 0.0 for x, y, ok in full}
+    for way in (1, -1):
+        for x, y, _ in full if way == 1 else full[::-1]:
+            steps = [(x - way, y - way, 2**0.5), (x - way, y, 1.0), (x - way, y + way, 2**0.5), (x, y - way, 1.0)]
+            d[x, y] = min([d[x, y], *[d.get((a, b), 0.0) + s for a, b, s in steps if d[x, y]]])
+    assert all(abs(got[k] - min(d[k], 7.0)) < 1e-9 for k in d)
+
+
+@pytest.mark.parametrize("values", [3, 100_000])
+def test_exact_ranks_of_few_keys(spark, values):
+    r = random.Random(values)
+    rows = [(r.choice("aab"), r.randrange(values)) for _ in range(2000)] + [("c", None), ("d", 7)]
+    got = selection.exact_ranks(
+        spark.createDataFrame(rows, "k string, v long"), ["k"], "v", {"upper": lambda n: F.floor(n / 2) + 1, "p95": grouping.nearest_rank(0.95)}
+    ).collect()
+    for x in got:
+        own = sorted(v for k, v in rows if k == x.k and v is not None)
+        assert (x["values"], x.upper, x.p95) == (len(own), own[len(own) // 2], own[-(-len(own) * 95 // 100) - 1])
+    assert {x.k for x in got} == {"a", "b", "d"}
+
+
+def test_total_order_is_whole(spark):
+    df = spark.range(5000).select((F.col("id") % 3).alias("k"), F.xxhash64("id").alias("v"), F.lit(2).alias("w"))
+    rows = selection.running_total(df, ["k", "v"], "w").collect()
+    assert [x.before for x in sorted(rows, key=lambda x: (x.k, x.v))] == list(range(0, 10_000, 2))
+
+
+def test_draws_are_unbiased_and_their_variance_honest(spark):
+    r = random.Random(3)
+    rows = [(g, i, float(r.randrange(1, 9)), float(r.randrange(1, 9))) for g in range(400) for i in range(60)]
+    df = spark.createDataFrame(rows, "k long, i long, b double, v double")
+    truth = {}
+    for g, _, _, v in rows:
+        truth[g] = truth.get(g, 0.0) + v
+    got = selection.proportional_estimate(df, ["k"], "b", "v", "i", 20).collect()
+    assert len(got) == 400 and abs(sum(x.estimate - truth[x.k] for x in got) / sum(truth.values())) < 0.03  # three standard errors
+    inside = sum(abs(x.estimate - truth[x.k]) <= 2 * x.variance**0.5 for x in got) / 400
+    assert 0.82 < inside < 0.99  # skewed draws, twenty of them
+    more = selection.estimate_until(df, ["k"], "b", "v", "i", 0.1, 20, 80).collect()
+    assert len(more) == 400 and {x.size for x in more} <= {20, 40, 80} and len({x.size for x in more}) > 1
+    assert all(2 * x.variance**0.5 <= 0.1 * x.estimate for x in more if x.size < 80)

@@ -2,10 +2,10 @@
 
 import pytest
 
-from sonolith.plans import further, joins, noise, places, repair, tables, tracks
+from sonolith.plans import emission, further, joins, noise, places, repair, scans, tables, tracks
 from tests.conftest import SMALL, rows_of
 
-PLANS = (repair, places, noise, tracks, tables, joins, further)
+PLANS = (repair, places, noise, tracks, tables, joins, further, emission, scans)
 ALL = [(name, query, plan.SQL.get(name)) for plan in PLANS for name, query in plan.QUERIES.items()]
 
 
