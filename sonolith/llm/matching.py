@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sonolith.functions.geo import cell_of, cells_within, distance_m, has_place
-from sonolith.session import materialize
+from sonolith.session import discard, materialize
 
 CELL = 0.00225
 SAME_SPOT_M = 100.0
@@ -202,14 +202,19 @@ def match(
         maker_key(F.col("maker")).alias("u_maker"),
         F.coalesce("gone", F.lit(False)).alias("u_gone"),
     )
-    entities = materialize(_informed(materialize(_entities(own), "entities")), "entities")
-    left, resolved = materialize(other, "units"), None
+    bare = materialize(_entities(own), "entities")
+    entities = materialize(_informed(bare), "entities")
+    discard(bare)
+    left, resolved, matches = materialize(other, "units"), None, []
     joins = [list(g) for _, g in groupby(enumerate(rules), lambda x: (x[1].radius_m, "farm" in x[1].attributes))]
     for i, joined in enumerate(joins):
         now = materialize(_pass(left, entities, joined), "matches")
+        matches.append(now)
         resolved = now if resolved is None else resolved.unionByName(now)
+        before = left
         if i + 1 < len(joins):
             left = materialize(left.join(now.select("unit_id"), "unit_id", "left_anti"), "units")
+        discard(before)
     # Each unit with the entity it found, and by a rule of its own with the unkeyed (or differently keyed) ones at the spot.
     near = F.explode(cells_within(F.col("e_lat"), F.col("e_lon"), CELL, SAME_SPOT_M))
     at = resolved.select("unit_id", "place", F.col("e_key").alias("b_key"), F.col("e_lat").alias("b_lat"), F.col("e_lon").alias("b_lon"),
@@ -222,6 +227,7 @@ def match(
         met.select("unit_id", F.when(same, F.col("place")).otherwise(len(rules)).alias("place"), F.col("e_key").alias("key"), _same_maker().alias("same")),
         "matched",
     )
+    discard(entities, *matches)
     precision = _precision(matched, own, labelled, rules)
     pairs = own.select("record_id", "key").join(matched.select("unit_id", "place", "key"), "key")
     return pairs.join(F.broadcast(precision), "place", "left").select("record_id", "unit_id", "rule", "confidence")

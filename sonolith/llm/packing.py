@@ -26,6 +26,9 @@ from pyspark.sql import functions as F
 
 from sonolith.session import materialize
 
+#: Parts in which the items of a length are ranked. It belongs to the result: containers are numbered alike everywhere.
+SHARDS = 256
+
 
 def fullest(room: int, counts: dict[int, int]) -> Counter:
     """The combination of available lengths that fills `room` best: lengths and how often each is used."""
@@ -85,7 +88,6 @@ def pack(items: DataFrame, key: str, size: str, capacity: int = 2048) -> DataFra
     """(container_id, key, piece, first_unit, units) of every piece of every item."""
     if capacity < 1:
         raise ValueError("capacity must be positive")
-    spark = items.sparkSession
     units = F.col(size).cast("long")
     last = F.floor((F.col("__size") - 1) / capacity).cast("long")
     pieces = (
@@ -95,8 +97,7 @@ def pack(items: DataFrame, key: str, size: str, capacity: int = 2048) -> DataFra
         .withColumn("units", F.least(F.col("__size") - F.col("first_unit"), F.lit(capacity).cast("long")))
         .drop("__size")
     )
-    shards = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    pieces = pieces.withColumn("__shard", F.pmod(F.xxhash64(key, "piece"), F.lit(shards)).cast("int"))
+    pieces = pieces.withColumn("__shard", F.pmod(F.xxhash64(key, "piece"), F.lit(SHARDS)).cast("int"))
     pieces = materialize(pieces, "pieces")
     sized = pieces.where(F.col("units") > 0)
     counts = {r["units"]: r["n"] for r in sized.groupBy("units").agg(F.count(F.lit(1)).alias("n")).collect()}
