@@ -3,6 +3,7 @@
 import random
 from collections import defaultdict
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -25,7 +26,7 @@ def brute(left, right, within, apart, bucket, least):
 @pytest.mark.parametrize(("block_rows", "part_rows"), [(2_000_000, 10_000), (90, 40)])
 @pytest.mark.parametrize("keys", [6, 300])
 def test_brute_force(spark, monkeypatch, block_rows, part_rows, keys):
-    monkeypatch.setattr(meetings, "PART_ROWS", part_rows)
+    monkeypatch.setattr(meetings, "PART_ROWS", part_rows)  # the parts are dealt by this process
     draw = random.Random(keys)
 
     def rows(n):
@@ -38,6 +39,25 @@ def test_brute_force(spark, monkeypatch, block_rows, part_rows, keys):
     assert sorted(map(tuple, out.collect())) == brute(left, right, 300, 0.5, 900, 2)
 
 
+@pytest.mark.parametrize(("hits", "bits"), [(2_000_000, 10), (7, 10), (60, 2), (1, 1)])
+@pytest.mark.parametrize("least", [1, 3])
+def test_portions(monkeypatch, hits, bits, least):
+    """The kernel by itself, with the limits at which a key is counted in portions; values a rounding away from the limit."""
+    monkeypatch.setattr(meetings, "HITS", hits)
+    monkeypatch.setattr(meetings, "BITS", bits)
+    draw = random.Random(hits + bits)
+    values = [0.0, 0.01, 0.3, 0.1 + 0.2, 40.01, 40.0, 80.01, 39.99, 1e-17, 40.3, 0.30000000000000004 + 40, -40.0, 1e300, -1e300]
+    left, right = ([(draw.randrange(8), draw.randrange(-4000, 4000), draw.choice(values)) for _ in range(n)] for n in (150, 200))
+    batches = []
+    for side, rows in ((0, right), (1, sorted(left))):
+        for i in range(0, len(rows), 64):
+            columns = [list(c) for c in zip(*rows[i : i + 64], strict=True)]
+            batches.append(pa.RecordBatch.from_pydict(dict(zip(("side", "key", "t", "v"), ([side] * len(columns[0]), *columns), strict=True))))
+    out = meetings._walk(iter(batches), 100, 40.0, 300, least)
+    got = sorted(tuple(r.values()) for batch in out for r in batch.to_pylist())
+    assert got == brute(left, right, 100, 40.0, 300, least)
+
+
 def test_empty_sides(spark):
     none, one = spark.createDataFrame([], KIND), spark.createDataFrame([(1, 0, 0.0)], KIND)
     for left, right in ((none, one), (one, none), (none, none), (one, one)):
